@@ -104,14 +104,13 @@ def is_valid_category(c, prevent_numeric: bool = True) -> Column:
 
 
 # -------------------------------------------------------------------- T1 ---
-def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
-    """Business category from a commit subject, or NULL.
+def category_candidate(subject) -> Column:
+    """The category a subject proposes before validation (NULL when none).
 
-    Candidates, first that applies: text before the first ``' | '`` (stripped,
+    First rule that applies: text before the first ``' | '`` (stripped,
     upper-cased, skipped when empty); a leading ``[NAME]`` (stripped,
-    upper-cased); the first blank-separated word when it is already upper case,
-    at least 2 characters and not an ignored verb.  The chosen candidate is then
-    validated once: a rejected candidate does not fall through to the next rule.
+    upper-cased); the first blank-separated word when it is already upper
+    case, at least 2 characters and not an ignored verb.
     """
     s = _col(subject)
     before_pipe = F.upper(strip(F.substring_index(s, " | ", 1)))
@@ -129,10 +128,17 @@ def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
     candidate = (F.when(pipe_candidate.isNotNull(), pipe_candidate)
                  .when(has_bracket, bracket_candidate)
                  .otherwise(word_candidate))
-    return F.when(
-        s.isNotNull() & (strip(s) != "") & is_valid_category(candidate, prevent_numeric),
-        candidate,
-    )
+    return F.when(s.isNotNull() & (strip(s) != ""), candidate)
+
+
+def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
+    """Business category from a commit subject, or NULL.
+
+    The candidate (``category_candidate``) is validated once (T2): a rejected
+    candidate does not fall through to the next rule.
+    """
+    candidate = category_candidate(subject)
+    return F.when(is_valid_category(candidate, prevent_numeric), candidate)
 
 
 # --------------------------------------------------------------- T5 / T6 ---

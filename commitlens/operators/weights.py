@@ -66,10 +66,13 @@ def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
 
 
 def zeroed_keys(matches: DataFrame) -> DataFrame:
-    """Distinct (repository_id, hash) of reverts with a match and of their originals."""
-    reverts = matches.select("repository_id", F.col("revert_hash").alias("hash"))
-    originals = matches.select("repository_id", F.col("original_hash").alias("hash"))
-    return reverts.union(originals).distinct()
+    """Distinct (repository_id, hash) of reverts with a match and of their originals.
+
+    Both sides of each pair come out of one pass over the matches (an array
+    explode), so the join is computed once; ``distinct`` pre-aggregates map-side.
+    """
+    both = F.explode(F.array(F.col("revert_hash"), F.col("original_hash"))).alias("hash")
+    return matches.select("repository_id", both).distinct()
 
 
 def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
@@ -127,10 +130,13 @@ def weighting_report(commits: DataFrame, mode: str = COMPATIBLE) -> WeightingRep
     needles = revert_needles(commits)
     matches = revert_matches(commits, mode)
     changed = weighting_plan(commits, mode)
-    counts = commits.agg(F.count(F.lit(1)).alias("commits_processed"),
-                         F.count_if(text.is_revert("subject")).alias("reverts_found"))
-    zeroed = changed.agg(F.count(F.lit(1)).alias("commits_zeroed"))
-    summary = counts.crossJoin(zeroed)  # one row x one row
+    # One global aggregate over the commits and the planned changes together.
+    flags = commits.select(F.lit(1).alias("_p"), text.is_revert("subject").cast("int").alias("_r"),
+                           F.lit(0).alias("_z"))
+    flags = flags.unionByName(changed.select(F.lit(0).alias("_p"), F.lit(0).alias("_r"), F.lit(1).alias("_z")))
+    summary = flags.agg(F.sum("_p").cast("long").alias("commits_processed"),
+                        F.sum("_r").cast("long").alias("reverts_found"),
+                        F.sum("_z").cast("long").alias("commits_zeroed"))
     no_number = (commits.where(text.is_revert("subject") & (F.size(text.pr_references("subject")) == 0))
                  .select("repository_id", "hash", "subject"))
     found = matches.select("repository_id", "revert_hash", "token").distinct()

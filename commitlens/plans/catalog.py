@@ -72,3 +72,70 @@ for _name, _key, _fn, _repos in [
     ("v15_monthly_category_stats_by_author", "v15", V.monthly_category_stats_by_author, True),
 ]:
     _view(_name, _key, _fn, _repos)
+
+
+# ------------------------------------------------------------- queries ----
+from . import oracle_queries as OQ  # noqa: E402
+from . import queries as Q  # noqa: E402
+
+# Parameters of the registered queries (a repository, an author, a date).
+PARAMS = {"repository": OQ.REPO, "author": OQ.AUTHOR, "as_of": OQ.AS_OF,
+          "before": ("1997-01-01", "1997-12-31"), "after": ("1998-01-01", "1998-12-31")}
+
+
+def _q(name: str, fn):
+    """Register ``fn(commits, repositories)`` with the oracle SQL of the same name."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c, r = _cr(spark, sf_dir)
+        return fn(c, r)
+    build.__name__ = name
+    register(name, OQ.SQL.get(name))(build)
+
+
+P = PARAMS
+for _name, _fn in [
+    ("q1_repository_monthly_trend", lambda c, r: Q.repository_monthly_trend(c, r, P["repository"])),
+    ("q2_top_contributors", lambda c, r: Q.top_contributors(c, 10)),
+    ("q3_daily_activity", lambda c, r: Q.daily_activity(c, r, P["as_of"], 30)),
+    ("q4_compare_repositories", lambda c, r: Q.compare_repositories(c, r, from_date="1998-01-01")),
+    ("q5_before_after", lambda c, r: Q.before_after(c, r, P["before"], P["after"])),
+    ("q6_before_after_change", lambda c, r: Q.before_after_change(c, r, P["before"], P["after"])),
+    ("q7_weight_efficiency_over_time", lambda c, r: Q.weight_efficiency_over_time(c, r, "1995-01-01")),
+    ("q8_discounted_repositories", lambda c, r: Q.discounted_repositories(c, r)),
+    ("p8_personal_commits", lambda c, r: Q.personal_commits(c, r, P["author"], limit=50)),
+    ("q9a_personal_monthly", lambda c, r: Q.personal_monthly(c, r, P["author"])),
+    ("q9b_personal_daily", lambda c, r: Q.personal_daily(c, r, P["author"], P["as_of"], 90)),
+    ("q9c_personal_categories", lambda c, r: Q.personal_categories(c, P["author"])),
+    ("q9d_personal_category_trend", lambda c, r: Q.personal_category_trend(c, r, P["author"], 20)),
+    ("q10_ai_coverage", lambda c, r: Q.ai_coverage(c)),
+    ("q11_category_coverage", lambda c, r: Q.category_coverage(c)),
+    ("q12_revert_rate", lambda c, r: Q.revert_rate(c)),
+    ("q13_with_vs_without_tools", lambda c, r: Q.with_vs_without_tools(c)),
+    ("q14_monthly_ai_adoption", lambda c, r: Q.monthly_ai_adoption(c)),
+    ("q15_weighted_vs_raw_lines", lambda c, r: Q.weighted_vs_raw_lines(c, r, P["repository"])),
+    ("q16_repository_overview", lambda c, r: Q.repository_overview(c, r)),
+    ("q17_global_monthly_trend", lambda c, r: Q.global_monthly_trend(c)),
+    ("q18_overview_totals", lambda c, r: Q.overview_totals(c, r)),
+    ("q19_trend_cards", lambda c, r: Q.trend_cards(c, P["as_of"])),
+    ("q20_commits_per_committer", lambda c, r: Q.commits_per_committer(c)),
+    ("q21_category_trend", lambda c, r: Q.category_trend(c, r, P["as_of"], 12)),
+    ("q21_category_trend_repo", lambda c, r: Q.category_trend(c, r, P["as_of"], 12, P["repository"])),
+    ("q22_category_list", lambda c, r: Q.category_list(c)),
+    ("q22_category_list_repo", lambda c, r: Q.category_list(c, r, P["repository"])),
+    ("q23_category_share_monthly", lambda c, r: Q.category_share(c, monthly=True)),
+    ("q23_category_share_overall", lambda c, r: Q.category_share(c, monthly=False)),
+    ("q24_category_repository_matrix", lambda c, r: Q.category_repository_matrix(c, r)),
+    ("q25_activity_by_weekday_hour", lambda c, r: Q.activity_by_weekday_hour(c)),
+    ("q26_calendar_heatmap", lambda c, r: Q.calendar_heatmap(c)),
+    ("q27_newest_reverted", lambda c, r: Q.newest(V.reverted_commits(c, r), 20)),
+    ("q27_newest_uncategorized", lambda c, r: Q.newest(V.uncategorized_commits(c, r), 20)),
+    ("q28_category_vocabulary", lambda c, r: Q.category_vocabulary(c, r)),
+    ("q29_category_usage_seed", lambda c, r: Q.category_usage_seed(c)),
+    ("w1_contributor_ranking", lambda c, r: Q.contributor_ranking(c)),
+    ("w1_contributor_podium", lambda c, r: Q.contributor_ranking(c, podium=3)),
+    ("w2_month_over_month", lambda c, r: Q.month_over_month(c, r)),
+    ("w3_repository_share", lambda c, r: Q.repository_share(c, r)),
+    ("p12_recategorize", lambda c, r: Q.recategorize(c, "HOTFIX", "%hotfix%", "% fix %")
+     .select("repository_id", "hash", "category")),
+]:
+    _q(_name, _fn)
