@@ -224,10 +224,15 @@ def parse_git_date(text) -> Column:
     )
 
 
+GIT_DATE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}) ([0-9]{2}:[0-9]{2}:[0-9]{2}) ([+-][0-9]{2})([0-9]{2})$"
+
+
 def iso_date_text(text) -> Column:
-    """T9 text form: ISO-8601 with offset when parseable, else the input unchanged."""
-    ts = parse_git_date(text)
-    return F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"), _col(text))
+    """T9 text form: ``2024-11-12T10:30:00+01:00`` (offset kept) when the git
+    date parses, otherwise the input unchanged."""
+    t = strip(text)
+    iso = F.regexp_replace(t, GIT_DATE, "$1T$2$3:$4")
+    return F.when(parse_git_date(text).isNotNull() & t.rlike(GIT_DATE), iso).otherwise(_col(text))
 
 
 def truncate_diff(diff, max_bytes: int = 10_240):

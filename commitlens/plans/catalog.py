@@ -139,3 +139,54 @@ for _name, _fn in [
      .select("repository_id", "hash", "category")),
 ]:
     _q(_name, _fn)
+
+
+# ------------------------------------------------------------ operators ---
+from . import oracle_ops as OO  # noqa: E402
+from . import scenarios as SC  # noqa: E402
+from ..operators import weights as _W  # noqa: E402
+
+
+def _op(name: str, fn):
+    """Register ``fn(spark, sf_dir)`` with the oracle SQL of the same name."""
+    register(name, OO.SQL.get(name))(fn)
+
+
+for _name, _fn in [
+    ("t1_category_rules", SC.category_rules),
+    ("t4_category_quality_audit", SC.category_quality_audit),
+    ("t5_ai_tools_from_body", SC.tool_rules),
+    ("t6_tool_names", SC.tool_names),
+    ("t7_reference_rules", SC.reference_rules),
+    ("t8_repository_name_from_url", SC.repository_names_from_urls),
+    ("t9_git_dates", SC.git_dates),
+    ("t10_diff_truncation", SC.diff_truncation),
+    ("j3_revert_matches", SC.revert_matches),
+    ("u1_zeroed_keys", SC.zeroed_keys),
+    ("o2_revert_weighting", SC.weights_after),
+    ("o2_revert_weighting_documented", lambda s, d: SC.weights_after(s, d, _W.DOCUMENTED)),
+    ("p14_weighting_one_repository", SC.weights_one_repository),
+    ("o3_weighting_plan", SC.weighting_plan),
+    ("o4_weighting_summary", SC.weighting_summary),
+    ("o4_weighting_warnings", SC.weighting_warnings),
+    ("w4_last_write_wins", SC.export_latest),
+    ("s4_upsert_commits", SC.upserted),
+    ("s12_load_statistics", SC.load_stats),
+    ("s13_constraint_audit", SC.audit),
+    ("s6_load_repositories", SC.repositories_loaded),
+    ("s7_delete_repository", SC.after_cleanup),
+    ("s8_deletion_preview", SC.cleanup_preview),
+    ("j5_orphan_commits", SC.orphan_commits),
+    ("s11_export_summary", SC.export_summary),
+    ("t12_response_parsing", SC.parsed_responses),
+    ("t13_enrichment_merge", SC.enriched),
+]:
+    _op(_name, _fn)
+
+
+def _j2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = commits(spark, sf_dir)
+    return V.category_stats(c, SC.category_weights(c))
+
+
+_op("j2_category_stats_weighted", _j2)

@@ -40,15 +40,34 @@ def valid(c: str) -> str:
             f" AND regexp_matches({c}, '[A-Za-z]'))")
 
 
-def category_sql(s: str) -> str:
+def candidate_sql(s: str) -> str:
     before = f"upper({strip(f'split_part({s}, {chr(39)} | {chr(39)}, 1)')})"
     bracket = r"'(?m)^\[([^\]]+)\]'"
     first = f"regexp_split_to_array({s}, '{WS}+')[1]"
-    cand = (f"(CASE WHEN contains({s}, ' | ') AND {before} <> '' THEN {before}"
+    return (f"(CASE WHEN {s} IS NULL OR {strip(s)} = '' THEN NULL"
+            f" WHEN contains({s}, ' | ') AND {before} <> '' THEN {before}"
             f" WHEN regexp_matches({s}, {bracket}) THEN upper({strip(f'regexp_extract({s}, {bracket}, 1)')})"
             f" WHEN {first} = upper({first}) AND length({first}) >= 2"
             f" AND {first} NOT IN ('MERGE', 'FIX', 'ADD', 'UPDATE', 'REMOVE', 'DELETE') THEN {first} END)")
-    return f"(CASE WHEN {s} IS NOT NULL AND {strip(s)} <> '' AND {valid(cand)} THEN {cand} END)"
+
+
+def category_sql(s: str) -> str:
+    cand = candidate_sql(s)
+    return f"(CASE WHEN {valid(cand)} THEN {cand} END)"
+
+
+def reason_sql(c: str) -> str:
+    digits = f"(length({c}) - length(regexp_replace({c}, '[0-9]', '', 'g')))"
+    return (f"(CASE WHEN {c} IS NULL OR length({c}) = 0 THEN 'nil or empty'"
+            f" WHEN length({c}) > 50 THEN 'too long (>50 chars)'"
+            f" WHEN length({c}) < 2 THEN 'too short (<2 chars)'"
+            rf" WHEN regexp_matches({c}, '(?m)^[0-9]+$') THEN 'purely numeric'"
+            rf" WHEN regexp_matches({c}, '(?m)^[0-9]+\.[0-9]+') THEN 'looks like version number'"
+            rf" WHEN regexp_matches({c}, '(?m)^#[0-9]+$') THEN 'looks like issue number'"
+            rf" WHEN regexp_matches({c}, '(?m)^#') THEN 'starts with # symbol'"
+            f" WHEN 2 * {digits} > length({c}) THEN 'too many digits (>50%)'"
+            f" WHEN NOT regexp_matches({c}, '[A-Za-z]') THEN 'contains no letters'"
+            " ELSE 'valid' END)")
 
 
 def tools_sql(b: str) -> str:
