@@ -424,14 +424,17 @@ def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
 
 
 def category_repository_matrix(commits: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Q24: category x repository commit counts (``pivot`` over the repository names).
+    """Q24: category x repository commit counts, one column per repository.
 
-    The pivot values come from the repositories dimension (size-checked), so
-    Spark does not have to discover them from the fact table.
+    Counts are aggregated first (one row per category and repository); the
+    pivot then runs on that small aggregate.  Its column list is the set of
+    repositories that occur, bounded by the repositories dimension.
     """
-    names = [r["name"] for r in V.dimension(repositories).select("name").orderBy("name").collect()]
-    c = V.categorized(commits).join(V.repo_names(repositories), "repository_id", "inner")
-    return c.groupBy("category").pivot("repository_name", names).count().fillna(0)
+    c = V.categorized(commits).groupBy("category", "repository_id").agg(F.count(F.lit(1)).alias("n"))
+    c = c.join(V.repo_names(repositories), "repository_id", "inner")
+    names = [r["repository_name"] for r in
+             c.select("repository_name").distinct().orderBy("repository_name").collect()]
+    return c.groupBy("category").pivot("repository_name", names).agg(F.sum("n")).fillna(0)
 
 
 # ------------------------------------------------------------ Q25 - Q27 ---
