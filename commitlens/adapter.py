@@ -117,12 +117,10 @@ def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_commits(messages: DataFrame) -> DataFrame:
     """Apply the pattern enrichment (T1 category, T5 tools) to extracted commits."""
-    return messages.select(
+    df = text.add_ai_tools(text.add_category(messages, "subject", "category"), "body", "ai_tools")
+    return df.select(
         "id", "repository_id", "hash", "commit_date", "author_name", "author_email", "subject",
-        "lines_added", "lines_deleted", "files_changed", "created_at",
-        text.category_from_subject("subject").alias("category"),
-        "weight",
-        text.ai_tools_from_body("body").alias("ai_tools"),
+        "lines_added", "lines_deleted", "files_changed", "created_at", "category", "weight", "ai_tools",
         "ai_confidence", "description", "business_impact",
     )
 

@@ -12,14 +12,14 @@ agree on it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values --------------------------------------------------------------
 # Whitespace of the original rules: tab, newline, vertical tab, form feed,
 # carriage return, space (plus NUL for strip()).
 WS = r"[\t\n\x0B\f\r ]"
-STRIP_PATTERN = r"^[\t\n\x0B\f\r \x00]+|[\t\n\x0B\f\r \x00]+$"
+STRIP_CHARS = "\t\n\x0b\f\r \x00"
 # All-caps first words that are verbs, not categories.
 IGNORED_FIRST_WORDS = ["MERGE", "FIX", "ADD", "UPDATE", "REMOVE", "DELETE"]
 CATEGORY_MIN_LEN = 2
@@ -56,9 +56,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body(value)``.
+
+    Inside CASE WHEN branches Spark re-evaluates a repeated sub-expression; a
+    one-element ``transform`` binds it to a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c) -> Column:
-    """Trim whitespace and NUL on both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
+    """Trim whitespace and NUL on both ends (``trim`` alone only removes blanks)."""
+    return F.btrim(_col(c), F.lit(STRIP_CHARS))
 
 
 # --------------------------------------------------------------- T2 / T3 ---
@@ -104,6 +113,25 @@ def is_valid_category(c, prevent_numeric: bool = True) -> Column:
 
 
 # -------------------------------------------------------------------- T1 ---
+BRACKET = r"(?md)^\[([^\]]+)\]"
+
+
+def _candidate_from(s: Column, before_pipe: Column, bracket: Column, first_word: Column) -> Column:
+    """Pick the candidate from the three pre-computed pieces (rule order)."""
+    word_ok = (first_word == F.upper(first_word)) & (F.length(first_word) >= 2) \
+        & ~first_word.isin(*IGNORED_FIRST_WORDS)
+    return (F.when(s.isNull() | (strip(s) == ""), F.lit(None).cast("string"))
+            .when(s.contains(" | ") & (before_pipe != ""), before_pipe)
+            .when(bracket != "", F.upper(strip(bracket)))
+            .when(word_ok, first_word))
+
+
+def _pieces(s: Column):
+    return (F.upper(strip(F.substring_index(s, " | ", 1))),   # text before the first ' | '
+            F.regexp_extract(s, BRACKET, 1),                  # '' when there is no [NAME]
+            F.split(s, WS + "+", 2).getItem(0))               # first blank-separated word
+
+
 def category_candidate(subject) -> Column:
     """The category a subject proposes before validation (NULL when none).
 
@@ -113,22 +141,17 @@ def category_candidate(subject) -> Column:
     case, at least 2 characters and not an ignored verb.
     """
     s = _col(subject)
-    before_pipe = F.upper(strip(F.substring_index(s, " | ", 1)))
-    pipe_candidate = F.when(s.contains(" | ") & (before_pipe != ""), before_pipe)
-    bracket_re = r"(?md)^\[([^\]]+)\]"
-    has_bracket = s.rlike(bracket_re)
-    bracket_candidate = F.upper(strip(F.regexp_extract(s, bracket_re, 1)))
-    first_word = F.split(s, WS + "+", 2).getItem(0)
-    word_candidate = F.when(
-        (first_word == F.upper(first_word))
-        & (F.length(first_word) >= 2)
-        & ~first_word.isin(*IGNORED_FIRST_WORDS),
-        first_word,
-    )
-    candidate = (F.when(pipe_candidate.isNotNull(), pipe_candidate)
-                 .when(has_bracket, bracket_candidate)
-                 .otherwise(word_candidate))
-    return F.when(s.isNotNull() & (strip(s) != ""), candidate)
+    bp, br, fw = _pieces(s)
+    return let(F.struct(bp.alias("bp"), br.alias("br"), fw.alias("fw")),
+               lambda p: _candidate_from(s, p["bp"], p["br"], p["fw"]))
+
+
+def add_category_candidate(df: DataFrame, subject: str = "subject", out: str = "candidate") -> DataFrame:
+    """The candidate as projections: each piece is computed once per row."""
+    bp, br, fw = _pieces(F.col(subject))
+    df = df.withColumns({"_bp": bp, "_br": br, "_fw": fw})
+    return df.withColumn(out, _candidate_from(F.col(subject), F.col("_bp"), F.col("_br"), F.col("_fw"))) \
+             .drop("_bp", "_br", "_fw")
 
 
 def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
@@ -137,8 +160,15 @@ def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
     The candidate (``category_candidate``) is validated once (T2): a rejected
     candidate does not fall through to the next rule.
     """
-    candidate = category_candidate(subject)
-    return F.when(is_valid_category(candidate, prevent_numeric), candidate)
+    return let(category_candidate(subject), lambda c: F.when(is_valid_category(c, prevent_numeric), c))
+
+
+def add_category(df: DataFrame, subject: str = "subject", out: str = "category",
+                 prevent_numeric: bool = True) -> DataFrame:
+    """T1 as two projections: the candidate is computed once, then validated."""
+    tmp = f"_{out}_candidate"
+    df = add_category_candidate(df, subject, tmp)
+    return df.withColumn(out, F.when(is_valid_category(tmp, prevent_numeric), F.col(tmp))).drop(tmp)
 
 
 # --------------------------------------------------------------- T5 / T6 ---
@@ -160,13 +190,23 @@ def ai_tools_from_body(body) -> Column:
     first occurrence.  NULL when the body is empty or names no tool.
     """
     b = _col(body)
-    listed = strip(F.regexp_extract(b, AI_TOOLS_MARKER, 1))
+    return F.when(b.isNotNull() & (strip(b) != ""),
+                  let(tool_list(b), lambda t: F.when(F.size(t) > 0, F.array_join(t, ", "))))
+
+
+def tool_list(body) -> Column:
+    """The distinct normalised tool names after the first marker (array, maybe empty)."""
+    listed = strip(F.regexp_extract(_col(body), AI_TOOLS_MARKER, 1))
     parts = F.filter(F.transform(F.split(listed, TOOL_SPLIT), strip), lambda x: x != "")
-    tools = F.array_distinct(F.transform(parts, normalize_tool_name))
-    return F.when(
-        b.isNotNull() & (strip(b) != "") & (F.size(tools) > 0),
-        F.array_join(tools, ", "),
-    )
+    return F.array_distinct(F.transform(parts, normalize_tool_name))
+
+
+def add_ai_tools(df: DataFrame, body: str = "body", out: str = "ai_tools") -> DataFrame:
+    """T5 as two projections: the tool list is computed once, then joined."""
+    tmp = f"_{out}_list"
+    b = F.col(body)
+    df = df.withColumn(tmp, F.when(b.isNotNull() & (strip(b) != ""), tool_list(b)))
+    return df.withColumn(out, F.when(F.size(tmp) > 0, F.array_join(tmp, ", "))).drop(tmp)
 
 
 # --------------------------------------------------------------- T7 / P13 --

@@ -31,25 +31,24 @@ CLEANED_REPOSITORY = "NATION_7"
 # ------------------------------------------------------------ text rules --
 def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T3 for every subject: candidate, validity, reason, category."""
-    m = adapter.commit_messages(spark, sf_dir)
-    cand = text.category_candidate("subject")
-    return m.select("id", "subject", cand.alias("candidate"),
-                    text.is_valid_category(cand).alias("is_valid"),
-                    text.category_rejection_reason(cand).alias("reason"),
-                    text.category_from_subject("subject").alias("category"))
+    m = text.add_category_candidate(adapter.commit_messages(spark, sf_dir).select("id", "subject"))
+    return m.select("id", "subject", "candidate",
+                    text.is_valid_category("candidate").alias("is_valid"),
+                    text.category_rejection_reason("candidate").alias("reason"),
+                    F.when(text.is_valid_category("candidate"), F.col("candidate")).alias("category"))
 
 
 def category_quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: how many subjects fail each validation rule."""
-    m = adapter.commit_messages(spark, sf_dir)
-    reason = text.category_rejection_reason(text.category_candidate("subject"))
+    m = text.add_category_candidate(adapter.commit_messages(spark, sf_dir).select("subject"))
+    reason = text.category_rejection_reason("candidate")
     return m.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("commits"))
 
 
 def tool_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 for every body."""
-    m = adapter.commit_messages(spark, sf_dir)
-    return m.select("id", "body", text.ai_tools_from_body("body").alias("ai_tools"))
+    m = adapter.commit_messages(spark, sf_dir).select("id", "body")
+    return text.add_ai_tools(m, "body", "ai_tools")
 
 
 def tool_names(spark: SparkSession, sf_dir: str) -> DataFrame:

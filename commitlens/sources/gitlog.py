@@ -86,9 +86,6 @@ def read_git_log(spark: SparkSession, paths, repository: str | None = None) -> D
     """Commits of one or more log dumps, enriched with category (T1) and tools (T5)."""
     records = spark.read.option("lineSep", RECORD_SEPARATOR).text(paths)
     records = records.where(F.trim(F.col("value")) != "")
-    parsed = parse_records(records)
-    return parsed.select(
-        F.lit(repository).cast("string").alias("repository"), "*",
-        text.category_from_subject("subject").alias("category"),
-        text.ai_tools_from_body("body").alias("ai_tools"),
-        F.lit(100).alias("weight"))
+    parsed = parse_records(records).select(F.lit(repository).cast("string").alias("repository"), "*")
+    enriched = text.add_ai_tools(text.add_category(parsed, "subject", "category"), "body", "ai_tools")
+    return enriched.withColumn("weight", F.lit(100))
