@@ -36,6 +36,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition an input that scans into fewer partitions than there are cores.
+
+    A small file with a single row group is read by one task, and every
+    row-wise expression fused into that stage (the regex text rules) would run
+    serially.  Large inputs already scan in many splits and pass through.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     return nation.select(
@@ -78,8 +91,8 @@ def _body(priority) -> F.Column:
 
 def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits as extracted from a log: numbers, subject and body, weights as loaded."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), "o_orderkey")
     items = (read_table(spark, sf_dir, "lineitem")
              .select("l_orderkey", "l_quantity", "l_returnflag")
              .groupBy("l_orderkey")
