@@ -6,6 +6,12 @@ from . import scenarios as SC
 from .oracle import (WS, candidate_sql, category_sql, is_revert, reason_sql, strip, tools_sql, valid,
                      with_commits, with_loaded)
 from .oracle_views import TEAM, _m
+from ..operators import enrich as _EN
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
 _CAND = "cand"
 
@@ -113,7 +119,29 @@ parsed AS (
 
 ORIG_REFS = "regexp_extract_all(o.subject, '([!#][0-9]+)', 1)"
 
+NL = "chr(10)"
+PROMPT = (f"{_lit(_EN.PROMPT_INTRO)} || {NL} || {NL} || 'COMMIT DETAILS:' || {NL} || '- Subject: \"' || c.subject"
+          f" || '\"' || {NL} || '- Hash: ' || c.hash || {NL} || {NL} || {_lit(_EN.FILES_MISSING)} || {NL} || {NL}"
+          f" || {_lit(_EN.DIFF_MISSING)} || {NL} || {NL}"
+          f" || CASE WHEN len(v.categories) > 0 THEN {_lit(_EN.CATEGORIES_HEADER)} || {NL}"
+          f" || array_to_string(v.categories, ', ') ELSE {_lit(_EN.CATEGORIES_MISSING)} END"
+          f" || {NL} || {NL} || {_lit(_EN.PROMPT_INSTRUCTIONS)}")
+
 SQL = {
+    "s3_export_rows": with_loaded(
+        f"""SELECT r.name AS repository, r.url AS repository_path, r.description AS repository_description,
+  '{SC.EXTRACTED_AT}' AS extraction_date, c.hash, strftime(c.commit_date, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date,
+  c.author_name, c.author_email, c.subject, c.weight, c.ai_tools, c.category,
+  CAST(c.ai_confidence AS INTEGER) AS ai_confidence, c.business_impact, c.description,
+  c.lines_added, c.lines_deleted, c.files_changed
+FROM loaded c JOIN repositories r ON r.id = c.repository_id"""),
+    "t11_prompt_text": with_loaded(
+        f"""SELECT c.repository_id, c.hash, {PROMPT} AS prompt
+FROM loaded c LEFT JOIN (
+  SELECT repository_id, list(category ORDER BY category) AS categories FROM (
+    SELECT repository_id, category FROM loaded WHERE category IS NOT NULL
+    GROUP BY repository_id, category HAVING COUNT(*) > 1) GROUP BY repository_id) v
+  ON v.repository_id = c.repository_id"""),
     "t1_category_rules": with_loaded(
         f"""SELECT id, subject, {_CAND} AS candidate, {valid(_CAND)} AS is_valid, {reason_sql(_CAND)} AS reason,
   {category_sql('subject')} AS category

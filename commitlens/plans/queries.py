@@ -405,8 +405,9 @@ def category_list(commits: DataFrame, repositories: DataFrame | None = None,
 def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
     """Q23: each category's percent of commits and of weighted lines.
 
-    The per-(month, category) aggregate is small; the month totals come from a
-    window over it (partitioned by month when ``monthly``).
+    Monthly: the month totals come from a window over the small per-(month,
+    category) aggregate, partitioned by month.  Overall: the two totals are one
+    global aggregate read back as scalars, so no window spans all categories.
     """
     c = V.categorized(commits)
     lines_w = (F.col("lines_added").cast("long") + F.col("lines_deleted").cast("long")) * F.col("weight").cast("long")
@@ -414,8 +415,12 @@ def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
              dates.year_month("commit_date").alias("year_month")] if monthly else [])
     g = c.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("total_commits"),
                                          F.sum(lines_w).alias("_slw"))
-    w = Window.partitionBy("month_start_date") if monthly else Window.partitionBy()
-    g = g.withColumn("_tn", F.sum("total_commits").over(w)).withColumn("_tw", F.sum("_slw").over(w))
+    if monthly:
+        w = Window.partitionBy("month_start_date")
+        g = g.withColumn("_tn", F.sum("total_commits").over(w)).withColumn("_tw", F.sum("_slw").over(w))
+    else:
+        tot = c.agg(F.count(F.lit(1)).alias("n"), F.sum(lines_w).alias("w")).first()
+        g = g.withColumn("_tn", F.lit(tot["n"]).cast("long")).withColumn("_tw", F.lit(tot["w"]).cast("long"))
     out_keys = ["month_start_date", "year_month"] if monthly else []
     return g.select(*out_keys, "category", "total_commits",
                     (F.col("_slw").cast("double") / 100).alias("weighted_lines_changed"),
@@ -423,6 +428,17 @@ def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
                     ratio("_slw * 100", "_tw", 1).alias("weighted_lines_share_pct"))
 
 
+def vocabulary_lists(commits: DataFrame) -> DataFrame:
+    """Q28 as lists for prompts: ``(repository_id, categories)`` sorted.
+
+    Built from the per-(repository, category) aggregate, so a list holds one
+    entry per distinct category of a repository, never one per commit.
+    """
+    g = (commits.where(F.col("category").isNotNull()).groupBy("repository_id", "category")
+         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    return g.groupBy("repository_id").agg(F.sort_array(F.collect_list("category")).alias("categories"))
+
+
 def category_repository_matrix(commits: DataFrame, repositories: DataFrame) -> DataFrame:
     """Q24: category x repository commit counts, one column per repository.
 

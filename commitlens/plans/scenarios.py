@@ -262,3 +262,19 @@ def category_weights(commits: DataFrame) -> DataFrame:
     g = commits.where(F.col("category").isNotNull()).groupBy(F.col("category").alias("name")).agg(
         F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= 100).select("name", (F.lit(50) + F.col("n") % 51).cast("int").alias("weight"))
+
+
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the rows an export writes (line form), for every loaded commit."""
+    from ..sources import exports as X
+    return X.export_rows(loaded_commits(spark, sf_dir), repositories(spark, sf_dir), EXTRACTED_AT)
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every commit, with its repository's category vocabulary."""
+    from .queries import vocabulary_lists
+    c = loaded_commits(spark, sf_dir)
+    j = c.join(vocabulary_lists(c), "repository_id", "left")
+    none = F.lit(None).cast("array<string>")
+    return j.select("repository_id", "hash", E.prompt_text(
+        "subject", "hash", none, F.lit(None).cast("string"), F.lit(False), "categories").alias("prompt"))
