@@ -509,7 +509,7 @@ def contributor_ranking(commits: DataFrame, podium: int | None = None) -> DataFr
     order = [F.col("total_commits").desc(), F.col("author_email"), F.col("author_name")]
     if podium is not None:
         top = v4.orderBy(*order).limit(podium)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return global_row_number(v4, order, "rank")
 
 

@@ -56,6 +56,19 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE",
+                 "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP",
+                 "timestamp_ntz": "TIMESTAMP", "binary": "BLOB", "float": "FLOAT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(df, res):
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(res.columns, res.types)}
+    return {c: (spark_types[c], duck_types.get(c)) for c in spark_types
+            if c in duck_types and spark_types[c] != duck_types[c]}
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [tuple(_norm(r[i]) for i in order) for r in rows], [columns[i] for i in order]
@@ -76,6 +89,7 @@ def compare(spark, sf_dir: str, name: str, query, sql: str | None, con=None):
     t0 = time.time()
     res = con.sql(sql)
     o_cols = res.columns
+    types = type_mismatches(df, res)
     o_rows = res.fetchall()
     out["oracle_sec"] = round(time.time() - t0, 2)
     out["oracle_rows"] = len(o_rows)
@@ -86,7 +100,10 @@ def compare(spark, sf_dir: str, name: str, query, sql: str | None, con=None):
         out["detail"] = {"spark_only": sorted(set(ac) - set(bc)), "oracle_only": sorted(set(bc) - set(ac))}
         return out
     ca, cb = Counter(a), Counter(b)
-    if ca == cb:
+    if ca == cb and types:
+        out["status"] = "types differ"
+        out["detail"] = types
+    elif ca == cb:
         out["status"] = "match"
     else:
         out["status"] = "values differ"
