@@ -249,7 +249,7 @@ def reference_prefixes(subject) -> Column:
 # -------------------------------------------------------------- T8 - T10 ---
 def repository_name_from_url(url) -> Column:
     """Last path segment without a trailing ``.git`` (URL or directory path)."""
-    u = F.regexp_replace(_col(url), "/+$", "")
+    u = F.regexp_replace(strip(url), "/+$", "")
     last = F.element_at(F.split(u, "/"), -1)
     return F.regexp_replace(last, r"\.git$", "")
 

@@ -165,12 +165,11 @@ WHERE tool <> '' GROUP BY tool"""),
   array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i), ',') AS "references"
 FROM (SELECT id, subject, list_concat(regexp_extract_all(subject, '\\((![0-9]+)\\)', 1),
                                       regexp_extract_all(subject, '\\((#[0-9]+)\\)', 1)) AS refs FROM messages)"""),
-    "t8_repository_name_from_url": with_loaded(
-        """SELECT id, form, location,
-  regexp_replace(string_split(regexp_replace(location, '/+$', ''), '/')[-1], '\\.git$', '') AS name
-FROM (SELECT id, 0 AS form, url AS location FROM repositories
-      UNION ALL SELECT id, 1, url || '.git' FROM repositories
-      UNION ALL SELECT id, 2, 'https://git.example.com/team/' || name || '.git/' FROM repositories)"""),
+    "t8_repository_name_from_url": f"""SELECT page_id, form, location,
+  regexp_replace(string_split(regexp_replace({strip('location')}, '/+$', ''), '/')[-1], '\\.git$', '') AS name
+FROM (SELECT page_id, 0 AS form, url AS location FROM pages
+      UNION ALL SELECT page_id, 1, url || '.git' FROM pages
+      UNION ALL SELECT page_id, 2, url || '.git/' FROM pages)""",
     "t9_git_dates": f"""SELECT id, git_date, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 1 HOUR AS commit_date,
   regexp_replace(git_date, {GIT_DATE}, '\\1T\\2\\3:\\4') AS iso_date
 FROM (SELECT o_orderkey AS id, o_orderdate, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +0100' AS git_date
@@ -260,7 +259,11 @@ WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.repository_id = n.repository_id
        WHEN s.name IS NOT NULL THEN 'created' ELSE 'kept' END AS load_action
 FROM repositories t FULL OUTER JOIN (
   SELECT DISTINCT name, '/srv/git/' || name AS url, 'Repository ' || name AS description FROM (
-    SELECT name FROM repositories UNION ALL SELECT r_name FROM region)) s ON t.name = s.name"""),
+    SELECT DISTINCT r.name FROM loaded l JOIN repositories r ON r.id = l.repository_id
+    WHERE l.commit_date >= {EXPORT_FROM}
+    UNION ALL
+    SELECT DISTINCT 'segment-' || lower(c.c_mktsegment) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+    WHERE CAST(o.o_orderdate AS TIMESTAMP) >= {EXPORT_FROM})) s ON t.name = s.name"""),
     "s7_delete_repository": with_commits(
         f"""SELECT r.id, r.name, CAST(NULL AS TIMESTAMP) AS last_extracted_at, COALESCE(g.n, 0) AS commits
 FROM repositories r LEFT JOIN (

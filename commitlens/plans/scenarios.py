@@ -69,12 +69,11 @@ def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repository_names_from_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 over three spellings of each repository location."""
-    r = repositories(spark, sf_dir)
-    forms = F.array(F.col("url"), F.concat(F.col("url"), F.lit(".git")),
-                    F.concat(F.lit("https://git.example.com/team/"), F.col("name"), F.lit(".git/")))
-    x = r.select("id", F.posexplode(forms).alias("form", "location"))
-    return x.select("id", "form", "location", text.repository_name_from_url("location").alias("name"))
+    """T8 over every page URL, in three spellings (as is, ``.git``, trailing ``/``)."""
+    p = adapter.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    forms = F.array(F.col("url"), F.concat(F.col("url"), F.lit(".git")), F.concat(F.col("url"), F.lit(".git/")))
+    x = p.select("page_id", F.posexplode(forms).alias("form", "location"))
+    return x.select("page_id", "form", "location", text.repository_name_from_url("location").alias("name"))
 
 
 def git_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +171,19 @@ def load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repositories_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations are known repositories (updated), regions arrive as new ones."""
-    regions = adapter.read_table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
-    nations = repositories(spark, sf_dir).select("name")
-    incoming = nations.unionByName(regions).select(
+    """Repositories named by the new export.  Every repository with commits
+    in the export window is known (updated); the market segments of the window's
+    orders arrive as new repositories (created)."""
+    window = F.col("commit_date") >= F.lit(EXPORT_FROM).cast("timestamp")
+    known = (loaded_commits(spark, sf_dir).where(window).select("repository_id").distinct()
+             .join(V.repo_names(repositories(spark, sf_dir)), "repository_id")
+             .select(F.col("repository_name").alias("name")))
+    orders = adapter.read_table(spark, sf_dir, "orders").where(
+        F.col("o_orderdate").cast("timestamp") >= F.lit(EXPORT_FROM).cast("timestamp")).select("o_custkey")
+    customers = adapter.read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    segments = (orders.join(customers, orders.o_custkey == customers.c_custkey)
+                .select(F.concat(F.lit("segment-"), F.lower("c_mktsegment")).alias("name")).distinct())
+    incoming = known.unionByName(segments).select(
         "name", F.concat(F.lit("/srv/git/"), F.col("name")).alias("url"),
         F.concat(F.lit("Repository "), F.col("name")).alias("description"))
     out = TB.load_repositories(repositories(spark, sf_dir), incoming, EXTRACTED_AT)
