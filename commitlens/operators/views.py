@@ -6,7 +6,7 @@ repository name *after* aggregating, so the shuffle carries an int key and the
 join runs on the small aggregate.  ``repositories`` is broadcast only after
 its row count was checked against a bound (``dimension``).
 
-Nothing here sorts: declared view orders live in ``plans.queries.presented``
+Nothing here sorts: declared view orders are applied by ``presented`` (L1)
 so that views stay composable (a filter on a group key is pushed below the
 aggregate by Catalyst).
 """
@@ -257,3 +257,39 @@ def monthly_category_stats_by_author(commits: DataFrame, repositories: DataFrame
     rows, extra, label = _raw_category_rows(commits, category_weights)
     keys = _AUTHOR + _REPO + _month_keys(with_numbers=False) + [_k("category")] + extra
     return _stats(rows, keys, M.AUTHOR_CATEGORY_BY_REPO, M.AUTHOR, repositories, relabel=label)
+
+
+# ----------------------------------------------------------- L1 ordering --
+# The declared order of each view (column, descending?).
+DECLARED_ORDER = {
+    "commit_details": [],
+    "personal_commit_details": [("commit_date", True)],
+    "reverted_commits": [("commit_date", True)],
+    "uncategorized_commits": [("commit_date", True)],
+    "daily_stats_by_repo": [("commit_date", True), ("repository_name", False)],
+    "weekly_stats_by_repo": [("week_start_date", True), ("repository_name", False)],
+    "monthly_stats_by_repo": [],
+    "contributor_stats": [("total_commits", True)],
+    "ai_tools_stats": [("total_commits", True)],
+    "ai_tools_by_repo": [("repository_name", False), ("total_commits", True)],
+    "category_stats": [("total_commits", True)],
+    "category_by_repo": [("repository_name", False), ("total_commits", True)],
+    "monthly_category_stats": [("repository_name", False), ("month_start_date", True), ("total_commits", True)],
+    "daily_stats_by_author": [("author_email", False), ("commit_date", True), ("repository_name", False)],
+    "weekly_stats_by_author": [("author_email", False), ("week_start_date", True), ("repository_name", False)],
+    "monthly_stats_by_author": [],
+    "category_stats_by_author": [("author_email", False), ("total_commits", True)],
+    "category_by_author_and_repo": [("author_email", False), ("repository_name", False), ("total_commits", True)],
+    "monthly_category_stats_by_author": [("author_email", False), ("repository_name", False),
+                                         ("month_start_date", True), ("total_commits", True)],
+}
+
+
+def presented(view: str, df: DataFrame) -> DataFrame:
+    """L1: a view in its declared order (a final global sort; apply last).
+
+    Views themselves stay unsorted so that filters and aggregates compose;
+    the sort is range-partitioned by Spark, not gathered into one task.
+    """
+    keys = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in DECLARED_ORDER[view]]
+    return df.orderBy(*keys) if keys else df

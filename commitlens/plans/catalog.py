@@ -192,3 +192,12 @@ def _j2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _op("j2_category_stats_weighted", _j2)
+
+
+def _l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, r = _cr(spark, sf_dir)
+    return V.presented("daily_stats_by_author", V.daily_stats_by_author(c, r))
+
+
+register("l1_presented_daily_stats_by_author",
+         oracle.with_commits(VIEW_SQL["v10"] + "\nORDER BY c.author_email, CAST(c.commit_date AS DATE) DESC, r.name"))(_l1)

@@ -94,3 +94,12 @@ def test_activity_days_floor(spark):
     rows = [("a", ts("2024-01-01 10:00"), 1, 0, 1, 100, None, "t@x", "T", None),
             ("b", ts("2024-01-03 09:59"), 1, 0, 1, 100, None, "t@x", "T", None)]
     assert V.contributor_stats(commits_df(spark, rows)).first()["activity_days"] == 1
+
+
+def test_declared_order(spark):
+    rows = [("a", ts("2024-01-01 10:00"), 1, 0, 1, 100, None, "b@x", "B", None),
+            ("b", ts("2024-01-02 10:00"), 1, 0, 1, 100, None, "a@x", "A", None),
+            ("c", ts("2024-01-03 10:00"), 1, 0, 1, 100, None, "a@x", "A", None)]
+    c = commits_df(spark, rows)
+    out = V.presented("daily_stats_by_author", V.daily_stats_by_author(c, repos_df(spark))).collect()
+    assert [(r["author_email"], r["commit_date"].day) for r in out] == [("a@x", 3), ("a@x", 2), ("b@x", 1)]
