@@ -1,0 +1,21 @@
+"""Size checks that gate a broadcast.
+
+A side is broadcast only after counting it (``limit(max + 1).count()`` reads
+no more than ``max + 1`` rows of the result) and finding it within the bound;
+otherwise the caller keeps the shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def within(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows."""
+    return max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when its checked row count is within ``max_rows``, else ``df``."""
+    return F.broadcast(df) if within(df, max_rows) else df

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from . import metrics as M
+from .sizing import broadcast_if_within
 
 # Fixed value: label of commits without category in the personal views.
 UNCATEGORIZED = "UNCATEGORIZED"
@@ -31,8 +32,7 @@ def dimension(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     Above the bound the plain DataFrame is returned and Spark plans a shuffle
     join (AQE can still switch to broadcast from runtime sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return broadcast_if_within(df, max_rows)
 
 
 def repo_names(repositories: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ equi-joined on ``(repository_id, token)``.  The fan-out is linear in the
 number of digits, there is no cartesian product, and a huge repository is
 spread over many join keys.  Hot tokens (short prefixes shared by many
 subjects) are split by AQE's skew-join handling.
+
+Broadcast path: the needles (one row per revert reference) and the zeroed
+keys are small next to the commit table.  When a count proves a side within
+its bound it is broadcast: the reference tokens of all commits are then
+matched map-side, and the weights are set map-side, so the commit table is
+never shuffled.  Above a bound the shuffle joins above are used.
 """
 
 from __future__ import annotations
@@ -30,9 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .sizing import broadcast_if_within
 
 COMPATIBLE = "compatible"
 DOCUMENTED = "documented"
+# Largest needle set / zeroed-key set broadcast (rows; ~100 bytes each).
+NEEDLES_BROADCAST_MAX = 2_000_000
+ZEROED_BROADCAST_MAX = 5_000_000
 
 
 def revert_needles(commits: DataFrame) -> DataFrame:
@@ -58,7 +68,7 @@ def original_tokens(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
 
 def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """(repository_id, revert_hash, token, original_hash) pairs, revert excluded."""
-    needles = revert_needles(commits)
+    needles = broadcast_if_within(revert_needles(commits), NEEDLES_BROADCAST_MAX)
     originals = original_tokens(commits, mode)
     return (needles.join(originals, ["repository_id", "token"], "inner")
             .where(F.col("revert_hash") != F.col("original_hash"))
@@ -86,6 +96,7 @@ def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
     if repository_ids is not None:
         scope = commits.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
     zero = zeroed_keys(revert_matches(scope, mode)).withColumn("_zeroed", F.lit(True))
+    zero = broadcast_if_within(zero, ZEROED_BROADCAST_MAX)
     cols = commits.columns
     out = commits.join(zero, ["repository_id", "hash"], "left")
     return out.select(*[

@@ -90,3 +90,12 @@ def test_never_raises_a_weight(spark):
     rows = [(1, "x", "Revert (!5)", 0), (1, "y", "thing (!5)", 30)]
     got = run(spark, rows)
     assert got == {(1, "x"): 0, (1, "y"): 0}
+
+
+def test_shuffle_fallback_equals_broadcast_path(spark, sf_small, monkeypatch):
+    c = tables.loaded_commits(spark, sf_small).select("repository_id", "hash", "subject", "weight")
+    rows = [tuple(r) for r in c.collect()]
+    expected = brute_force(rows)
+    monkeypatch.setattr(W, "NEEDLES_BROADCAST_MAX", 0)
+    monkeypatch.setattr(W, "ZEROED_BROADCAST_MAX", 0)
+    assert run(spark, rows) == expected      # shuffle joins only
