@@ -178,6 +178,7 @@ for _name, _fn in [
     ("s8_deletion_preview", SC.cleanup_preview),
     ("j5_orphan_commits", SC.orphan_commits),
     ("s11_export_summary", SC.export_summary),
+    ("q25_event_activity_by_weekday_hour", SC.event_activity),
     ("s3_export_rows", SC.export_rows),
     ("t11_prompt_text", SC.prompts),
     ("t12_response_parsing", SC.parsed_responses),

@@ -128,6 +128,8 @@ PROMPT = (f"{_lit(_EN.PROMPT_INTRO)} || {NL} || {NL} || 'COMMIT DETAILS:' || {NL
           f" || {NL} || {NL} || {_lit(_EN.PROMPT_INSTRUCTIONS)}")
 
 SQL = {
+    "q25_event_activity_by_weekday_hour": """SELECT CAST(isodow(ts) AS INTEGER) AS iso_weekday,
+  CAST(hour(ts) AS INTEGER) AS hour_of_day, COUNT(*) AS total_commits FROM events GROUP BY 1, 2""",
     "s3_export_rows": with_loaded(
         f"""SELECT r.name AS repository, r.url AS repository_path, r.description AS repository_description,
   '{SC.EXTRACTED_AT}' AS extraction_date, c.hash, strftime(c.commit_date, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date,

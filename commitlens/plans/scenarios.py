@@ -286,3 +286,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     return j.select("repository_id", "hash", E.prompt_text(
         "subject", "hash", none, F.lit(None).cast("string"), F.lit(False), "categories").alias("prompt"))
+
+
+def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q25 on event timestamps (orders carry no time of day): events per ISO
+    weekday and hour, every event counted as active work."""
+    from .queries import activity_by_weekday_hour
+    ev = adapter.read_table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("commit_date"), F.lit(100).alias("weight"))
+    return activity_by_weekday_hour(ev)
