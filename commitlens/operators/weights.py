@@ -22,10 +22,11 @@ spread over many join keys.  Hot tokens (short prefixes shared by many
 subjects) are split by AQE's skew-join handling.
 
 Broadcast path: the needles (one row per revert reference) and the zeroed
-keys are small next to the commit table.  When a count proves a side within
-its bound it is broadcast: the reference tokens of all commits are then
-matched map-side, and the weights are set map-side, so the commit table is
-never shuffled.  Above a bound the shuffle joins above are used.
+keys are small next to the commit table.  Each is written once with a
+reliable ``checkpoint`` (cutting lineage, so neither is recomputed), counted on
+that copy and, when within its bound, broadcast: the reference tokens of all
+commits are then matched map-side and the weights are set map-side, so the
+commit table is never shuffled.  Above a bound the shuffle joins above are used.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ def original_tokens(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
 
 def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """(repository_id, revert_hash, token, original_hash) pairs, revert excluded."""
-    needles = broadcast_if_within(revert_needles(commits), NEEDLES_BROADCAST_MAX)
+    # Needles are few (one per revert reference): written once, size-checked on
+    # that copy, then broadcast or shuffled.
+    needles = broadcast_if_within(revert_needles(commits).checkpoint(eager=True), NEEDLES_BROADCAST_MAX)
     originals = original_tokens(commits, mode)
     return (needles.join(originals, ["repository_id", "token"], "inner")
             .where(F.col("revert_hash") != F.col("original_hash"))
@@ -95,7 +98,9 @@ def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
     scope = commits
     if repository_ids is not None:
         scope = commits.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
-    zero = zeroed_keys(revert_matches(scope, mode)).withColumn("_zeroed", F.lit(True))
+    # The zeroed keys are written once to the checkpoint folder: the size check
+    # and the final join then read that copy instead of matching twice.
+    zero = zeroed_keys(revert_matches(scope, mode)).withColumn("_zeroed", F.lit(True)).checkpoint(eager=True)
     zero = broadcast_if_within(zero, ZEROED_BROADCAST_MAX)
     cols = commits.columns
     out = commits.join(zero, ["repository_id", "hash"], "left")
