@@ -44,6 +44,7 @@ DOCUMENTED = "documented"
 # Largest needle set / zeroed-key set broadcast (rows; ~100 bytes each).
 NEEDLES_BROADCAST_MAX = 2_000_000
 ZEROED_BROADCAST_MAX = 5_000_000
+REPOSITORIES_BROADCAST_MAX = 1_000_000
 
 
 def revert_needles(commits: DataFrame) -> DataFrame:
@@ -97,7 +98,8 @@ def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
     """
     scope = commits
     if repository_ids is not None:
-        scope = commits.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
+        ids = broadcast_if_within(repository_ids.select("repository_id").distinct(), REPOSITORIES_BROADCAST_MAX)
+        scope = commits.join(ids, "repository_id", "left_semi")
     # The zeroed keys are written once to the checkpoint folder: the size check
     # and the final join then read that copy instead of matching twice.
     zero = zeroed_keys(revert_matches(scope, mode)).withColumn("_zeroed", F.lit(True)).checkpoint(eager=True)
