@@ -32,8 +32,22 @@ BODY_BY_PRIORITY = [
 ]
 
 
+_READS: dict[tuple[str, int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table as a lazy DataFrame.
+
+    The DataFrame (file listing and footer schema, no data) is kept per session
+    and path, so building many queries over the same tables lists them once;
+    every action still reads the files.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
