@@ -131,11 +131,13 @@ def weighting_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a new export in file order (``_pos``): commits from
     ``EXPORT_FROM`` on.  Commits already in the table were re-extracted with new
-    enrichment; their stale earlier version also appears, at a lower position."""
+    enrichment; their stale earlier version also appears, at a lower position.
+    Both versions come out of one pass (an array of row structs, exploded)."""
     c = loaded_commits(spark, sf_dir).where(F.col("commit_date") >= F.lit(EXPORT_FROM).cast("timestamp"))
     again = F.col("commit_date") < F.lit(TABLE_UNTIL).cast("timestamp")
-    fresh = c.select(
-        "repository_id", "hash", "commit_date", "author_name", "author_email",
+    same = ["repository_id", "hash", "commit_date", "author_name", "author_email"]
+    fresh = F.struct(
+        *same,
         F.when(again, F.concat(F.col("subject"), F.lit(" v2"))).otherwise(F.col("subject")).alias("subject"),
         F.when(again, F.lit(999999)).otherwise(F.col("lines_added")).alias("lines_added"),
         "lines_deleted", "files_changed",
@@ -146,8 +148,10 @@ def export_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(again, F.lit("re-extracted")).otherwise(F.col("description")).alias("description"),
         F.when(again, F.lit(70)).otherwise(F.col("business_impact")).alias("business_impact"),
         F.lit(1).alias("_pos"))
-    stale = c.where(again).select(*[F.col(x) for x in fresh.columns if x != "_pos"], F.lit(0).alias("_pos"))
-    return fresh.unionByName(stale)
+    stale = F.struct(*same, "subject", "lines_added", "lines_deleted", "files_changed", "category", "weight",
+                     "ai_tools", "ai_confidence", "description", "business_impact", F.lit(0).alias("_pos"))
+    versions = F.when(again, F.array(fresh, stale)).otherwise(F.array(fresh))
+    return c.select(F.explode(versions).alias("v")).select("v.*")
 
 
 def export_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
