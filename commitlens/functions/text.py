@@ -165,10 +165,18 @@ def category_from_subject(subject, prevent_numeric: bool = True) -> Column:
 
 def add_category(df: DataFrame, subject: str = "subject", out: str = "category",
                  prevent_numeric: bool = True) -> DataFrame:
-    """T1 as two projections: the candidate is computed once, then validated."""
+    """T1 as projections: the candidate is computed once, then validated.
+
+    The category leaves through a one-element ``explode``: a later filter on it
+    (``category IS NOT NULL``) then tests the computed value instead of being
+    pushed below with the whole derivation substituted into its condition,
+    which would compute the category twice per row.
+    """
     tmp = f"_{out}_candidate"
     df = add_category_candidate(df, subject, tmp)
-    return df.withColumn(out, F.when(is_valid_category(tmp, prevent_numeric), F.col(tmp))).drop(tmp)
+    value = F.when(is_valid_category(tmp, prevent_numeric), F.col(tmp))
+    cols = [c for c in df.columns if c != tmp]
+    return df.select(*cols, F.explode(F.array(value)).alias(out))
 
 
 # --------------------------------------------------------------- T5 / T6 ---
