@@ -214,7 +214,10 @@ def add_ai_tools(df: DataFrame, body: str = "body", out: str = "ai_tools") -> Da
     tmp = f"_{out}_list"
     b = F.col(body)
     df = df.withColumn(tmp, F.when(b.isNotNull() & (strip(b) != ""), tool_list(b)))
-    return df.withColumn(out, F.when(F.size(tmp) > 0, F.array_join(tmp, ", "))).drop(tmp)
+    # Emitted through a one-element explode, like the category (see add_category).
+    value = F.when(F.size(tmp) > 0, F.array_join(tmp, ", "))
+    cols = [c for c in df.columns if c != tmp]
+    return df.select(*cols, F.explode(F.array(value)).alias(out))
 
 
 # --------------------------------------------------------------- T7 / P13 --
