@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from commitlens.llm import mixing, quality, sharding
+from commitlens.llm import chat, mixing, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
+    "op4_token_id_files": tokens.token_ids,
     "op5_mix_to_target_weights": mixing.mix_documents,
+    "op6_url_markov_filter": urls.url_filter,
     "op8_line_frequency_quality": quality.quality_rules,
+    "op9_chat_segments": chat.format_conversations,
 }
 
 ORACLES = {
     "op5_mix_to_target_weights": mixing.OP5_SQL,
+    "op6_url_markov_filter": urls.OP6_SQL,
     "op8_line_frequency_quality": quality.OP8_SQL,
+    "op9_chat_segments": chat.OP9_SQL,
 }
