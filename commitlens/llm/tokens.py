@@ -32,9 +32,9 @@ from commitlens.llm.files import make_folder, open_fs
 
 NULL_ID = -(1 << 63)
 END_ID = 1
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
 #: Latin words with trailing marks: one-to-one lower case, stable under NFC, split before the marks only.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN, MARKS = re.compile(r"[a-zß-öø-ÿ]+"), b".,;:!?"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -59,20 +59,22 @@ class WordEncoder(dict):
         self.whole.encode_special_tokens = False
         self.merge, self.chars = self.whole.model.tokenize, _byte_chars()
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def _merged(self, run: str) -> bytes:
-        spelt = run if run.isascii() else "".join(self.chars[b] for b in run.encode())
-        return np.array([t.id for t in self.merge(spelt)], self.dtype).tobytes()
+        self.bytes_of = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.whole.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text.lower()) if len(word) <= CACHE_BYTES and max(text) < "Ā" else None
-        if plain:
-            run, marks = plain.groups()
-            own = word if not marks and run == text else None
-            ids = (self._merged(run) if own else self[run.encode()]) + (self[marks.encode()] if marks else b"")
+        run = word.rstrip(MARKS)
+        if run.isalpha():  # of bytes: Latin letters without accents
+            low = run.lower()
+            ids = b"".join([self.bytes_of[t.id] for t in self.merge(low.decode())]) if low == word else self[low]
+        elif len(word) <= CACHE_BYTES and (plain := _PLAIN.fullmatch((text := run.decode()).lower())) and max(text) < "Ā":
+            low = plain[0].encode()
+            spelt = plain[0].encode().decode("latin-1").translate(self.chars)
+            ids = b"".join([self.bytes_of[t.id] for t in self.merge(spelt)]) if low == word else self[low]
         else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            run, text = word, word.decode()
+            ids = b"".join([self.bytes_of[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+        if len(run) < len(word):
+            ids += self[word[len(run):]]
         if len(word) <= CACHE_BYTES:
             self[word] = ids
         return ids
