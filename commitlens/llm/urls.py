@@ -100,6 +100,8 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     labelled = labelled.groupBy("_s", "held").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     train = exploded(labelled.where(~F.col("held")), "yes", "no").groupBy("w").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     asked = rows.where(F.col("ruled").isNull()).select("_s").union(labelled.where("held").select("_s")).distinct()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks)  # few bytes become many rows: not to be gathered in one task
     parts = materialise(exploded(asked, "_s").groupBy("_s", "w").agg(F.count("*").alias("n")), "url-windows")
     scored = materialise(window_scores(train, parts.select("w").distinct()), "url-window-scores")
     scores = parts.join(scored, "w").groupBy("_s").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"))
