@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, mixing, quality, sharding, tokens, urls
+from commitlens.llm import chat, decontaminate, mixing, quality, sharding, tokens, urls, warc
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
+    "op2_warc_revisits": warc.warc_revisits,
     "op4_token_id_files": tokens.token_ids,
     "op5_mix_to_target_weights": mixing.mix_documents,
     "op6_url_markov_filter": urls.url_filter,
+    "op7_template_decontamination": decontaminate.decontamination,
     "op8_line_frequency_quality": quality.quality_rules,
     "op9_chat_segments": chat.format_conversations,
 }
