@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, mixing, quality, sharding, tokens, urls, warc
+from commitlens.llm import chat, decontaminate, lattice, mixing, quality, sharding, tokens, urls, warc
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
     "op2_warc_revisits": warc.warc_revisits,
+    "op3_lattice_likelihood": lattice.lattice_scores,
     "op4_token_id_files": tokens.token_ids,
     "op5_mix_to_target_weights": mixing.mix_documents,
     "op6_url_markov_filter": urls.url_filter,
