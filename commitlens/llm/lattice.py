@@ -37,7 +37,7 @@ LN10 = math.log(10)
 HELD_WORDS = 200_000
 #: Distinct words a worker gathers before it passes their counts on.
 GATHER = 500_000
-EM_ROUNDS = 1
+EM_ROUNDS = 2
 #: Longer words go alone, so that the arrays of a batch stay small.
 LONG_WORD = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
