@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, lattice, mixing, quality, sharding, tokens, urls, warc
+from commitlens.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, tokens, urls, warc
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_template_decontamination": decontaminate.decontamination,
     "op8_line_frequency_quality": quality.quality_rules,
     "op9_chat_segments": chat.format_conversations,
+    "op10_ngram_jaccard_join": jaccard.near_duplicates,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op6_url_markov_filter": urls.OP6_SQL,
     "op8_line_frequency_quality": quality.OP8_SQL,
     "op9_chat_segments": chat.OP9_SQL,
+    "op10_ngram_jaccard_join": jaccard.OP10_SQL,
 }
