@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import batches, materialise, table
@@ -65,6 +65,8 @@ class Pieces:
         order = np.argsort(keys)
         self.order, self.keys, self.longest = order, keys[order], max(map(len, own))
         assert (np.diff(self.keys.astype(object)) > 0).all(), "two pieces share a hash"
+        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a hash
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.scores = (np.log(first / first.sum()) + math.log(1 - stop))[order]
         self.log_stop = math.log(stop) - math.log(1 - stop)
 
@@ -75,26 +77,27 @@ class Pieces:
             h = ((h + b + 1) * int(_MIX)) & (2 ** 64 - 1)
         return h
 
-    def _found(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, place of the piece or -1, log score) for all cuts of words of one length, by end."""
+    def _found(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, rows, places of their pieces, log scores) for all cuts of words of one length, by end."""
         n, length = words.shape
         hashes: list[np.ndarray] = []
         codes = words.astype(np.uint64) + np.uint64(1)
         for end in range(1, length + 1):
             hashes = [(h + codes[:, end - 1]) * _MIX for h in [*hashes, np.zeros(n, np.uint64)]][-self.longest:]
             for k, h in enumerate(hashes):
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[at] == h
-                if hit.any():
-                    yield end - len(hashes) + k, end, np.where(hit, at, -1), np.where(hit, self.scores[at], -np.inf)
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                if len(rows):
+                    at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                    hit = self.keys[at] == h[rows]
+                    yield end - len(hashes) + k, end, rows[hit], at[hit], self.scores[at[hit]]
 
     def log_spelt(self, words: np.ndarray) -> np.ndarray:
         """Natural logs of the marginal probabilities of words of one length (rows of bytes)."""
         n, length = words.shape
         forward = np.full((length + 1, n), -np.inf)
         forward[0] = 0
-        for start, end, _, score in self._found(words):
-            forward[end] = np.logaddexp(forward[end], forward[start] + score)
+        for start, end, rows, _, score in self._found(words):
+            forward[end, rows] = np.logaddexp(forward[end, rows], forward[start, rows] + score)
         return forward[length] + self.log_stop
 
     def expected(self, words: np.ndarray) -> np.ndarray:
@@ -103,15 +106,13 @@ class Pieces:
         cuts = list(self._found(words))
         forward, backward = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
         forward[0] = backward[length] = 0
-        for start, end, _, score in cuts:
-            forward[end] = np.logaddexp(forward[end], forward[start] + score)
-        for start, end, _, score in sorted(cuts, key=lambda c: -c[1]):
-            backward[start] = np.logaddexp(backward[start], backward[end] + score)
+        for start, end, rows, _, score in cuts:
+            forward[end, rows] = np.logaddexp(forward[end, rows], forward[start, rows] + score)
+        for start, end, rows, _, score in sorted(cuts, key=lambda c: -c[1]):
+            backward[start, rows] = np.logaddexp(backward[start, rows], backward[end, rows] + score)
         out = np.zeros(len(self.keys))
-        for start, end, at, score in cuts:
-            hit = at >= 0
-            share = np.exp((forward[start] + score + backward[end] - forward[length])[hit])
-            out += np.bincount(at[hit], share, len(out))
+        for start, end, rows, at, score in cuts:
+            out += np.bincount(at, np.exp(forward[start, rows] + score + backward[end, rows] - forward[length, rows]), len(out))
         return out
 
 
@@ -263,7 +264,11 @@ def scored(docs: DataFrame, held_out, pieces: list[bytes] | None = None, held_wo
     total, distinct = some[0] + ends, some[1] + (ends > 0)
     discount = min(0.9, max(0.1, some[2] / max(1, some[2] + 2 * some[3])))
     model = TokenModel(fitted(Pieces(pieces or public_pieces()), counts), total, distinct, ends, discount)
-    top = score_words(counts.orderBy(F.desc("c"), "word").limit(held_words).repartition(spark.sparkContext.defaultParallelism), model).toArrow()
+    # The least count that at most held_words words reach: few distinct counts are ordered, no words.
+    reach = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(reach))
+    least = ranks.where(F.col("upto") <= held_words).agg(F.min("c")).first()[0]
+    top = score_words(counts.where(F.col("c") >= F.lit(least)), model).toArrow()
     held = dict(zip(top["word"].to_pylist(), zip(top["base"].to_pylist(), top["score"].to_pylist(), strict=True), strict=True))
     ids = dict(docs.dtypes)["doc_id"]
     end = (float(model.base(np.float64(ends))), model.end())
