@@ -27,12 +27,13 @@ NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = ("%", "kg", "g", "mg", "km", "cm", "mm", "m", "miles", "mile", "feet", "ft", "inches", "inch", "l", "ml", "liters", "hours", "hour", "h", "minutes", "minute",
          "min", "seconds", "second", "s", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "degrees")
 _UNITS = "|".join(UNITS[1:])
+#: Each pattern looks at one character before anything costly.  Signs that a text has of its own count as slots.
 _STEPS = (
-    (f"[{NAME}-{UNIT}]", " "),
-    (r"(?<=[^\s.!?][ \t]{1,4})(\p{Lu}[\p{L}]*)", f"{NAME}$1"),
-    (rf"(?<![\p{{L}}\p{{N}}])([0-9]+(?:[.,][0-9]+)*)[ \t]?(%|(?:{_UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 {UNIT}$2 "),
-    (rf"(?<![\p{{L}}\p{{N}}{NUMBER}.,])([0-9]+(?:[.,][0-9]+)*)(?![\p{{L}}\p{{N}}])", f" {NUMBER}$1 "),
-    (rf"(?:(?<![0-9])[.,]|[.,](?![0-9])|[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}%.,])+", " "),
+    (r"(?=\p{Lu})(?<=[^\s.!?][ \t]{1,4})([\p{L}]+)", f"{NAME}$1"),
+    (r"(?=[0-9])(?<![\p{L}\p{N}.,])([0-9]+(?:[.,][0-9]+)*)(?![\p{L}\p{N}])", f" {NUMBER}$1 "),
+    (rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.,])([0-9]+(?:[.,][0-9]+)*)(?=(?:{_UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 "),
+    (rf"{NUMBER}([0-9.,]+)[ \t]*(%|(?:{_UNITS})(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2 "),
+    (rf"[^a-zA-Z0-9\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}%.,]+|[.,]+(?![0-9])|(?<![0-9])[.,]+", " "),
 )
 
 
@@ -45,16 +46,19 @@ def marked(text: Column) -> Column:
 
 def windows(df: DataFrame, *keep: str) -> DataFrame:
     """(*keep, h, at, slots, total): a row per window; slots holds its values, without their tokens between."""
-    df = df.select(*keep, marked(F.coalesce("text", F.lit(""))).alias("_m")).where(F.col("_m") != "")
-    df = df.select(*keep, F.split("_m", " ").alias("raw"), F.split(F.regexp_replace("_m", f"([{NAME}-{UNIT}])[^ ]*", "$1"), " ").alias("tpl"),
-                   F.col("_m").rlike(f"[{NAME}-{UNIT}]").alias("_any"))
+    sign = f"[{NAME}-{UNIT}]"
+    df = df.select(*keep, marked(F.coalesce("text", F.lit(""))).alias("_m"))
+    # No filter on _m: it would be pushed down and mark the text twice.  Without slots the template is the text itself.
+    has = F.contains("_m", F.lit(NAME)) | F.contains("_m", F.lit(NUMBER)) | F.contains("_m", F.lit(UNIT))
+    df = df.select(*keep, F.split("_m", " +").alias("raw"), F.when(has, F.split(F.regexp_replace("_m", f"({sign})[^ ]*", "$1"), " +")).alias("tpl"))
+    df = df.select(*keep, "raw", F.coalesce("tpl", "raw").alias("tpl"), F.col("tpl").isNotNull().alias("_any"))
     last = F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1))
+    some = F.when((F.size("tpl") == 1) & (F.element_at("tpl", 1) == ""), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), last))
     none = F.array().cast("array<string>")
-    is_slot = lambda t: t.rlike(f"^[{NAME}-{UNIT}]")
     one = lambda i: F.struct(
-        F.xxhash64(F.slice("tpl", i, F.lit(WIDTH))).alias("h"), i.alias("at"),
-        F.when(F.col("_any"), F.filter(F.slice("raw", i, F.lit(WIDTH)), is_slot)).otherwise(none).alias("slots"))
-    return df.select(*keep, last.alias("total"), F.explode(F.transform(F.sequence(F.lit(1), last), one)).alias("w")).select(*keep, "total", "w.*")
+        F.xxhash64(*(F.get("tpl", i + (k - 1)) for k in range(WIDTH))).alias("h"), i.alias("at"),
+        F.when(F.col("_any"), F.filter(F.slice("raw", i, F.lit(WIDTH)), lambda t: F.substring(t, 1, 1).between(NAME, UNIT))).otherwise(none).alias("slots"))
+    return df.select(*keep, last.alias("total"), F.explode(F.transform(some, one)).alias("w")).select(*keep, "total", "w.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
