@@ -35,9 +35,12 @@ WIDTH, PERCENT = 4, 85
 KEYS, BITS, SKETCH = 8, 256, 1 << 20
 #: Shingles gathered before those frequent among them go to the sketch, and how many make one frequent.
 GATHER, FREQUENT = 4_000_000, 4
+#: Rows (three numbers each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Comparisons with one class in one task.
 SPLIT = 500
 CACHE_WORDS = 500_000
+_RANGES = np.arange(KEYS, dtype=np.uint64) << np.uint64(61)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -76,11 +79,15 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def signature(s: np.ndarray) -> tuple[int, int, list[int]]:
-    """Class, its proof, and the keys under which the set meets its likes."""
+def signature(s: np.ndarray) -> tuple[int, int, list[int], list[int]]:
+    """Class, its proof, the keys under which the set meets its likes, and its bitmap.
+
+    The keys are the least hashes of equal ranges; an empty range has none.
+    """
     total = [int(mix(s, k).sum(dtype=np.uint64)) for k in (101, 102)]
-    keys = [int(mix(np.array([mix(s, k).min()], np.uint64), 200 + k)[0]) for k in range(KEYS)]
-    return *(_signed(x) for x in total), [_signed(k) for k in keys]
+    first = np.searchsorted(s, _RANGES)
+    keys = s[np.unique(first[first < len(s)])].view(np.int64).tolist()
+    return *(_signed(x) for x in total), keys, bitmap(s)
 
 
 def _signed(x: int) -> int:
@@ -91,7 +98,8 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndar
     """The shingles of which a linked set holds one, in the common order."""
     n = len(s)
     keep = n - -(-n * percent // 100) + 1
-    return s[np.lexsort((s, levels[(s % np.uint64(len(levels))).astype(np.int64)]))[:keep]]
+    rank = (levels[(s % np.uint64(len(levels))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    return s[rank <= np.partition(rank, keep - 1)[keep - 1]]
 
 
 def bitmap(s: np.ndarray) -> list[int]:
@@ -101,14 +109,15 @@ def bitmap(s: np.ndarray) -> list[int]:
 
 
 def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "n", "cls", "proof", "keys", "bucket", "freq"]
+    names = ["doc_id", "th", "n", "cls", "proof", "keys", "bits", "bucket", "freq"]
+    lists = pa.list_(pa.int64())
 
     def frequent() -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(gathered), return_counts=True)
         h, c = h[c >= FREQUENT], c[c >= FREQUENT]
         k = len(h)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.list_(pa.int64())),
+            [pa.nulls(k, id_type), *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, lists), pa.nulls(k, lists),
              pa.array((h % np.uint64(SKETCH)).astype(np.int64)), pa.array(c, pa.int64())], names=names)
 
     gathered: list[np.ndarray] = []
@@ -119,13 +128,13 @@ def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text").to_pylist():
             s = shingles(text)
             n.append(len(s))
-            rows.append(signature(s) if len(s) else (None, None, None))
+            rows.append(signature(s) if len(s) else (None, None, None, None))
             gathered.append(s)
             size += len(s)
         k = len(n)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+             pa.array([r[2] for r in rows], lists), pa.array([r[3] for r in rows], lists), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         if size >= GATHER:
             yield frequent()
             gathered, size = [], 0
@@ -134,11 +143,11 @@ def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, th, n, cls, proof, keys) and of the sketch (bucket, freq)."""
+    """Rows of documents (doc_id, th, n, cls, proof, keys, bits) and of the sketch (bucket, freq)."""
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     ids = dict(rows.dtypes)["doc_id"]
     return materialise(rows.mapInArrow(
-        _described, f"doc_id {ids}, th long, n long, cls long, proof long, keys array<long>, bucket long, freq long"), "shingle-classes")
+        _described, f"doc_id {ids}, th long, n long, cls long, proof long, keys array<long>, bits array<long>, bucket long, freq long"), "shingle-classes")
 
 
 def order_levels(found: DataFrame) -> np.ndarray:
@@ -177,8 +186,7 @@ def _sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column("cls"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
-             pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "bits", "items"])
+            [b.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
 
 
 def _compare(percent: int):
@@ -230,18 +238,28 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, items): the sets of the classes in the pairs, from a text of each."""
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    reps = classes.join(needed, "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
+    reps = materialise(reps, "representatives")
+    side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    texts = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (text_hash(docs["text"]) == side["_th"])).select("cls", "text")
+    return materialise(texts.mapInArrow(_sets, "cls long, items binary").dropDuplicates(["cls"]), "sets")
+
+
 def leaders(rows: DataFrame) -> DataFrame:
     """(a, b): for each class the class that leads most of its keys."""
-    keys = rows.select("cls", F.posexplode("keys").alias("k", "key")).distinct()
-    least = materialise(keys.groupBy("k", "key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").drop("z"), "leaders")
-    votes = keys.join(least, ["k", "key"]).where("a <> cls").groupBy("cls", "a").agg(F.count("*").alias("votes"))
+    keys = rows.select("cls", F.explode("keys").alias("key"))
+    least = materialise(keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").drop("z"), "leaders")
+    votes = keys.join(least, "key").where("a <> cls").groupBy("cls", "a").agg(F.count("*").alias("votes"))
     return votes.groupBy("cls").agg(F.max_by("a", F.struct("votes", F.col("a"))).alias("a")).select("a", F.col("cls").alias("b"))
 
 
-def tiles(tokens: DataFrame, sets: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of classes of different components that share a tile and whose bound admits a link."""
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
-    facts = sets.select("cls", "n", "bits", band.alias("band")).join(roots, F.col("cls") == F.col("node"), "left").select(
+    facts = classes.select("cls", "n", "bits", band.alias("band")).join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "n", "bits", "band", F.coalesce("root", "cls").alias("root"))
     facts = materialise(facts, "facts")
     own = tokens.join(facts.select("cls", "root", "band"), "cls")
@@ -266,24 +284,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = found.where(F.col("bucket").isNull())
     classes = rows.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"),
-        F.first("keys").alias("keys"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min("proof").alias("p"), F.max("proof").alias("q"))
     classes = materialise(classes, "classes")
     if not classes.where("p <> q").isEmpty():
         raise ValueError("two sets share a 64-bit class; change the seeds of signature()")
     stars = materialise(leaders(classes), "stars")
+    sets = sets_of(docs, classes, stars)
+    near = materialise(linked(stars, sets, percent), "links")
     sent = spark.sparkContext.broadcast(order_levels(found))
-    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value)(it), "token long, cls long")
-    tokens = materialise(tokens, "prefixes")
+    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value)(it), "token long, cls long").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("r"), F.max("cls").alias("s")).where("r <> s").select("token")
-    tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")
-    needed = tokens.select("cls").union(stars.select("a")).union(stars.select("b")).distinct()
-    reps = classes.join(needed, "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
-    reps = materialise(reps, "representatives")
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["_id"]) & (text_hash(docs["text"]) == reps["_th"])).select("cls", "text")
-    sets = texts.mapInArrow(_sets, "cls long, n long, bits array<long>, items binary").dropDuplicates(["cls"])
-    sets = materialise(sets, "sets")
-    near = materialise(linked(stars, sets, percent), "links")
-    more = linked(tiles(tokens, sets, components(near), percent), sets, percent)
+    tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")  # one exchange serves all of it
+    pairs = materialise(tiles(tokens, classes, components(near), percent), "tile-pairs")
+    more = linked(pairs, sets_of(docs, classes, pairs), percent)
     roots = components(near.unionByName(more))
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = materialise(named, "class-roots")
