@@ -21,18 +21,18 @@ than any; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import batches, materialise, table, text_hash
 
 WIDTH, PERCENT = 4, 85
-KEYS, BITS, SKETCH = 8, 256, 1 << 20
+KEYS, BITS, FOLDED, SKETCH = 8, 1024, 256, 1 << 20
 #: Shingles gathered before those frequent among them go to the sketch, and how many make one frequent.
 GATHER, FREQUENT = 4_000_000, 4
 #: Rows (three numbers each) that may be broadcast; more are joined by a shuffle.
@@ -211,7 +211,6 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """Of the pairs (a, b) of classes those that link.  A class with many partners is
     compared with them in several tasks; a task streams its partners past it."""
     parts = F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")
-    pairs = materialise(pairs, "pairs")
     left = pairs.groupBy("a").agg(parts)
     items = sets.select("cls", "items")
     owners = left.join(items, left["a"] == items["cls"]).select("a", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), F.lit(0).alias("kind"), "cls", "items")
@@ -256,10 +255,25 @@ def leaders(rows: DataFrame) -> DataFrame:
     return votes.groupBy("cls").agg(F.max_by("a", F.struct("votes", F.col("a"))).alias("a")).select("a", F.col("cls").alias("b"))
 
 
+def may_link(a: str, b: str, words: int, percent: int = PERCENT) -> Column:
+    """Sizes and bitmaps admit a link: the overlap is at most (sizes - differing bits) / 2."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(words)])
+    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ * (100 + percent) <= (100 - percent) * (m + n))
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that the whole bitmaps admit."""
+    a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "bits").alias(f"_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b", BITS // 64, percent)).select("a", "b")
+
+
 def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of classes of different components that share a tile and whose bound admits a link."""
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
-    facts = classes.select("cls", "n", "bits", band.alias("band")).join(roots, F.col("cls") == F.col("node"), "left").select(
+    words, step = BITS // 64, FOLDED // 64
+    folded = F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), [F.col("bits")[i] for i in range(k, words, step)]) for k in range(step)))
+    facts = classes.select("cls", "n", folded.alias("bits"), band.alias("band")).join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "n", "bits", "band", F.coalesce("root", "cls").alias("root"))
     facts = materialise(facts, "facts")
     own = tokens.join(facts.select("cls", "root", "band"), "cls")
@@ -268,12 +282,8 @@ def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     rows = spread.join(materialise(busy, "tiles"), ["token", "tile"])
     rows = materialise(rows.join(facts.select("cls", "n", "bits"), "cls"), "tile-rows")
     a, b = rows.alias("a"), rows.alias("b")
-    differ = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("a.bits")[0].bitwiseXOR(F.col("b.bits")[0])))
-    total = F.col("a.n") + F.col("b.n")
     meets = ((F.col("a.token") == F.col("b.token")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-             & (F.greatest("a.band", "b.band") == F.col("a.tile"))
-             & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-             & (differ * (100 + percent) <= (100 - percent) * total))  # overlap <= (total - differ) / 2
+             & (F.greatest("a.band", "b.band") == F.col("a.tile")) & may_link("a", "b", step, percent))
     return a.join(b, meets).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
@@ -288,14 +298,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialise(classes, "classes")
     if not classes.where("p <> q").isEmpty():
         raise ValueError("two sets share a 64-bit class; change the seeds of signature()")
-    stars = materialise(leaders(classes), "stars")
+    stars = materialise(bounded(leaders(classes), classes, percent), "stars")
     sets = sets_of(docs, classes, stars)
     near = materialise(linked(stars, sets, percent), "links")
     sent = spark.sparkContext.broadcast(order_levels(found))
     tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value)(it), "token long, cls long").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("r"), F.max("cls").alias("s")).where("r <> s").select("token")
     tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")  # one exchange serves all of it
-    pairs = materialise(tiles(tokens, classes, components(near), percent), "tile-pairs")
+    pairs = materialise(bounded(tiles(tokens, classes, components(near), percent), classes, percent), "tile-pairs")
     more = linked(pairs, sets_of(docs, classes, pairs), percent)
     roots = components(near.unionByName(more))
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
