@@ -292,13 +292,13 @@ FROM loaded c JOIN repositories r ON r.id = c.repository_id GROUP BY r.name"""),
     "t13_enrichment_merge": with_loaded(
         """SELECT l.id, l.repository_id, l.hash, l.commit_date, l.author_name, l.author_email, l.subject,
   l.lines_added, l.lines_deleted, l.files_changed, l.created_at,
-  COALESCE(l.category, p.category) AS category,
-  CAST(CASE WHEN p.hash IS NOT NULL THEN COALESCE(p.business_impact, 100) ELSE l.weight END AS INTEGER) AS weight,
+  COALESCE(l.category, CASE WHEN p.error IS NULL THEN p.category END) AS category,
+  CAST(CASE WHEN p.hash IS NOT NULL AND p.error IS NULL THEN COALESCE(p.business_impact, 100) ELSE l.weight END AS INTEGER) AS weight,
   l.ai_tools,
-  CASE WHEN p.hash IS NOT NULL THEN CAST(p.confidence AS SMALLINT) ELSE l.ai_confidence END AS ai_confidence,
-  CASE WHEN p.hash IS NOT NULL THEN p.description ELSE l.description END AS description,
-  CASE WHEN p.hash IS NOT NULL THEN p.business_impact ELSE l.business_impact END AS business_impact
-FROM loaded l LEFT JOIN (SELECT * FROM parsed WHERE error IS NULL) p
+  CASE WHEN p.hash IS NULL THEN l.ai_confidence WHEN p.error IS NULL THEN CAST(p.confidence AS SMALLINT) END AS ai_confidence,
+  CASE WHEN p.hash IS NULL THEN l.description WHEN p.error IS NULL THEN p.description END AS description,
+  CASE WHEN p.hash IS NULL THEN l.business_impact WHEN p.error IS NULL THEN p.business_impact END AS business_impact
+FROM loaded l LEFT JOIN parsed p
   ON p.repository_id = l.repository_id AND p.hash = l.hash""", PARSED),
     "j2_category_stats_weighted": with_commits(
         f"""SELECT c.category, cw.weight AS category_weight,

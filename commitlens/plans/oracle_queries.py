@@ -204,9 +204,8 @@ FROM (SELECT CAST(date_trunc('month', c.commit_date) AS DATE) AS month_start_dat
 FROM (SELECT c.category, COUNT(*) AS total_commits, SUM({LINES} * c.weight) AS slw
       FROM commits c WHERE c.category IS NOT NULL AND c.weight > 0 GROUP BY 1)"""),
     "q24_category_repository_matrix": with_commits(
-        """PIVOT (SELECT c.category, r.name AS repository_name FROM commits c
-        JOIN repositories r ON c.repository_id = r.id WHERE c.category IS NOT NULL AND c.weight > 0)
-ON repository_name USING count(*) GROUP BY category"""),
+        """SELECT c.category, r.name AS repository_name, COUNT(*) AS total_commits FROM commits c
+        JOIN repositories r ON c.repository_id = r.id WHERE c.category IS NOT NULL AND c.weight > 0 GROUP BY 1, 2"""),
     "q25_activity_by_weekday_hour": with_commits(
         """SELECT CAST(isodow(commit_date) AS INTEGER) AS iso_weekday, CAST(hour(commit_date) AS INTEGER) AS hour_of_day,
   COUNT(*) AS total_commits FROM commits WHERE weight > 0 GROUP BY 1, 2"""),

@@ -439,21 +439,18 @@ def vocabulary_lists(commits: DataFrame) -> DataFrame:
     return g.groupBy("repository_id").agg(F.sort_array(F.collect_list("category")).alias("categories"))
 
 
-def category_repository_matrix(commits: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Q24: category x repository commit counts, one column per repository.
-
-    Counts are aggregated first (one row per category and repository); the
-    matrix is then one conditional sum per repository over that small
-    aggregate (a pivot spelled out, which keeps the generated code small).  Its
-    column list is the set of repositories that occur, bounded by the
-    repositories dimension.
+def category_repository_matrix(commits: DataFrame, repositories: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Q24: category x repository commit counts, a row per cell that has commits.
+
+    With ``columns`` (repository names) the cells become those columns, one
+    conditional sum each over the small aggregate; the schema never depends on the data.
     """
-    c = V.categorized(commits).groupBy("category", "repository_id").agg(F.count(F.lit(1)).alias("n"))
-    c = c.join(V.repo_names(repositories), "repository_id", "inner")
-    names = [r["repository_name"] for r in
-             c.select("repository_name").distinct().orderBy("repository_name").collect()]
-    cells = [F.coalesce(F.sum(F.when(F.col("repository_name") == n, F.col("n"))), F.lit(0)).alias(n)
-             for n in names]
+    c = V.categorized(commits).groupBy("category", "repository_id").agg(F.count(F.lit(1)).alias("total_commits"))
+    c = c.join(V.repo_names(repositories), "repository_id", "inner").select("category", "repository_name", "total_commits")
+    if columns is None:
+        return c
+    cells = [F.coalesce(F.sum(F.when(F.col("repository_name") == n, F.col("total_commits"))), F.lit(0)).alias(n)
+             for n in columns]
     return c.groupBy("category").agg(*cells)
 
 
@@ -474,7 +471,7 @@ def calendar_heatmap(commits: DataFrame, include_reverted: bool = False) -> Data
     """
     c = _scope(commits, include_reverted).select(dates.day("commit_date").alias("day"))
     per_day = c.groupBy("day").agg(F.count(F.lit(1)).alias("total_commits"))
-    axis = c.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi")).select(
+    axis = per_day.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi")).select(
         F.explode(F.sequence("_lo", "_hi")).alias("day"))
     return (axis.join(per_day, "day", "left")
             .select("day", F.coalesce(F.col("total_commits"), F.lit(0)).alias("total_commits")))

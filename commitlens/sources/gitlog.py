@@ -30,7 +30,7 @@ BODY_END = "BODYEND|"
 
 def _to_int(s: Column) -> Column:
     """Leading integer of a text, 0 when none (as a permissive integer read)."""
-    return F.coalesce(F.regexp_extract(s, r"^[\t\n\x0B\f\r ]*([+-]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(s, r"^[\t\n\x0B\f\r ]*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
@@ -59,7 +59,7 @@ def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
     first_end = F.array_position(ends, True)
     body_more = F.when(in_body & (first_end > 0), F.slice(lines, 1, first_end - 1)) \
         .when(in_body, lines).otherwise(F.array().cast("array<string>"))
-    after = F.when(in_body & (first_end > 0), F.slice(lines, first_end + 1, 1 << 30)) \
+    after = F.when(in_body & (first_end > 0), F.slice(lines, first_end + 1, F.size(lines))) \
         .when(in_body, F.array().cast("array<string>")).otherwise(lines)
     stat_lines = F.filter(after, lambda l: (F.instr(l, BODY_END) == 0) & (text.strip(l) != ""))
     stats = F.transform(stat_lines, lambda l: F.split(l, "\t", 3))
@@ -69,15 +69,14 @@ def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
 
     out = df.select(
         "_file",
-        parts[0].alias("hash"), parts[1].alias("date"), parts[2].alias("author_name"),
-        parts[3].alias("author_email"), parts[4].alias("subject"),
+        *(F.get(parts, i).alias(c) for i, c in enumerate(("hash", "date", "author_name", "author_email", "subject"))),
         F.array_join(F.concat(first_body, body_more), "\n").alias("body"),
         files.alias("files"))
     return out.select(
         "_file", "hash", "date", text.parse_git_date("date").alias("commit_date"),
         text.iso_date_text("date").alias("iso_date"), "author_name", "author_email", "subject", "body",
-        F.aggregate("files", F.lit(0), lambda acc, f: acc + f["added"]).alias("lines_added"),
-        F.aggregate("files", F.lit(0), lambda acc, f: acc + f["deleted"]).alias("lines_deleted"),
+        F.aggregate("files", F.lit(0).cast("bigint"), lambda acc, f: acc + f["added"]).alias("lines_added"),
+        F.aggregate("files", F.lit(0).cast("bigint"), lambda acc, f: acc + f["deleted"]).alias("lines_deleted"),
         F.size("files").alias("files_changed"), "files",
         (~F.coalesce(F.col("hash").rlike("^[0-9a-f]{40}$"), F.lit(False))).alias("_corrupt"))
 
