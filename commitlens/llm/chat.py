@@ -60,8 +60,10 @@ class Template:
         if first:
             turn = turn.removeprefix(self.begin)
         if turn.startswith(self.other[0]):
-            role, _, rest = turn[len(self.other[0]):].partition(self.other[1])
-            return self.unescape(role), self.unescape(rest[:len(rest) - len(self.other[2])])
+            # The role ends at the first mark that is not escaped.
+            role = re.match(r"((?:\\.|[^\\])*?)" + re.escape(self.other[1]), turn[len(self.other[0]):], re.DOTALL)
+            rest = turn[len(self.other[0]) + role.end():]
+            return self.unescape(role[1]), self.unescape(rest[:len(rest) - len(self.other[2])])
         for role, (before, after, _) in self.marks.items():
             if turn.startswith(before) and turn.endswith(after):
                 return role, self.unescape(turn[len(before):len(turn) - len(after)])
