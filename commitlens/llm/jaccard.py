@@ -183,10 +183,15 @@ def _prefixes(levels: np.ndarray):
 
 
 def _sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # repeated rows give one set per task; a second one changes no result
     for b in batches(it):
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        rows = {c: t for c, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True) if c not in seen}
+        if len(seen) > 1_000_000:
+            seen.clear()
+        seen.update(rows)
+        sets = [shingles(t) for t in rows.values()]
         yield pa.RecordBatch.from_arrays(
-            [b.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
+            [pa.array(list(rows), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
 
 
 def _compare(percent: int):
@@ -211,11 +216,14 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """Of the pairs (a, b) of classes those that link.  A class with many partners is
     compared with them in several tasks; a task streams its partners past it."""
     parts = F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")
-    left = pairs.groupBy("a").agg(parts)
+    left = materialise(pairs.groupBy("a").agg(parts), "partners")
+    others = materialise(pairs.join(left, "a"), "partner-pairs")
+    if others.count() <= BROADCAST_ROWS:  # then the sets move once only
+        left, others = F.broadcast(left), F.broadcast(others)
     items = sets.select("cls", "items")
     owners = left.join(items, left["a"] == items["cls"]).select("a", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), F.lit(0).alias("kind"), "cls", "items")
     part = (F.pmod(F.xxhash64("b"), F.col("parts")) + 1).cast("int")
-    others = pairs.join(left, "a").join(items, F.col("b") == items["cls"]).select("a", part.alias("part"), F.lit(1).alias("kind"), "cls", "items")
+    others = others.join(items, F.col("b") == items["cls"]).select("a", part.alias("part"), F.lit(1).alias("kind"), "cls", "items")
     rows = owners.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "cls", "items")
     return rows.mapInArrow(_compare(percent), "a long, b long")
 
@@ -244,7 +252,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     reps = materialise(reps, "representatives")
     side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     texts = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (text_hash(docs["text"]) == side["_th"])).select("cls", "text")
-    return materialise(texts.mapInArrow(_sets, "cls long, items binary").dropDuplicates(["cls"]), "sets")
+    return materialise(texts.mapInArrow(_sets, "cls long, items binary"), "sets")
 
 
 def leaders(rows: DataFrame) -> DataFrame:
