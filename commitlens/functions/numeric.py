@@ -33,16 +33,6 @@ def hundredths(total: str) -> Column:
     return F.expr(f"CAST({total} AS DOUBLE) / 100")
 
 
-def signed_ratio(num: Column, den: Column, scale: int) -> Column:
-    """round(num/den, scale) half away from zero for any sign (decimal path).
-
-    Used where operands are themselves decimals (percent changes); the quotient
-    is taken at scale ``scale + 12`` before rounding, far below any tie.
-    """
-    q = num.cast("decimal(38,18)") / den.cast("decimal(38,18)")
-    return F.round(q, scale).cast("double")
-
-
 def clamp(c, lo: int = 0, hi: int = 100) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))

@@ -2,7 +2,8 @@
 
 Names follow ``<survey id>_<short name>``.  Every builder takes
 ``(spark, sf_dir)``, reads the driver tables under ``sf_dir`` and returns a
-lazy DataFrame; nothing is collected.
+DataFrame.  Builders over the weighted commit table run size checks and write checkpoints
+while they build; the others are lazy.
 """
 
 from __future__ import annotations
