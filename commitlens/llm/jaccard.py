@@ -21,7 +21,7 @@ than any; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,10 @@ GATHER, FREQUENT = 4_000_000, 4
 BROADCAST_ROWS = 500_000
 #: Comparisons with one class in one task.
 SPLIT = 500
-CACHE_WORDS = 500_000
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _RANGES = np.arange(KEYS, dtype=np.uint64) << np.uint64(61)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,32 +54,36 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(1)
-def _words() -> _Words:
-    return _Words()
+def words(text: bytes) -> np.ndarray:
+    """A hash of each word: its eight-byte pieces and its length, mixed one after the other."""
+    raw = np.frombuffer(text + b" " * 9, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True))
+    at, size = edges[::2], edges[1::2] - edges[::2]
+    pieces = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mix(pieces[at] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64)
+    more = np.flatnonzero(size > 8)
+    for i in more[size[more] > LONG_WORD].tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[at[i]:at[i] + size[i]])
+    more, done = more[size[more] <= LONG_WORD], 8
+    while len(more):
+        h[more] = mix(h[more]) ^ (pieces[at[more] + done] & _MASKS[np.minimum(size[more] - done, 8)])
+        done += 8
+        more = more[size[more] > done]
+    return mix(h)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    known = _words()
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = words((text or "").encode().lower())
+    if not len(h):
+        return h
     if len(h) < width:
         return mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64))
     out = h[:len(h) - width + 1].copy()
     for i in range(1, width):
         out = mix(out) + h[i:len(h) - width + 1 + i]
-    return np.unique(mix(out))
+    out = np.sort(mix(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def signature(s: np.ndarray) -> tuple[int, int, list[int], list[int]]:
