@@ -2,13 +2,15 @@
 
 Sets of equal shingles form classes; only one document of a class takes part.  Then
 
-1. ``leaders``: classes that share the smallest hash under one of a few mixes are compared with the
-   least of them, one comparison each.  This joins large groups of near copies in linear work.
+1. ``leaders``: classes that share the smallest hash of one of a few ranges are paired with the least and
+   the greatest of them, and ``nearest`` compares each with the nearest of its partners, a few times.
+   This joins large groups of near copies in linear work.
 2. ``tiles``: a shared prefix of the sets (rare shingles first) is necessary for a link, and so
    is a like size.  Classes meet in tiles of one prefix shingle and one size band, unless they are of
    one component already.  Hashed bitmap signatures bound the overlap from above: the bits in which two
    signatures differ are no more than the shingles in which the sets differ.
-3. ``linked``: the pairs left are intersected exactly, as sorted arrays.
+3. The pairs left pass a bitmap of two bits a shingle, and ``nearest`` once more; then ``linked``
+   intersects all that are still in different components exactly, as sorted arrays.
 
 The order of prefix shingles comes from a sketch of fixed size; it decides how much work there
 is and never what is found.  Classes are 64-bit; a second hash proves them distinct.
@@ -37,6 +39,8 @@ KEYS, BITS, FOLDED, SKETCH = 8, 1024, 256, 1 << 20
 GATHER, FREQUENT = 4_000_000, 4
 #: Rows (three numbers each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: How often each class is compared with its nearest partner alone before all other pairs are.
+NEAREST_ROUNDS = 2
 #: Comparisons with one class in one task.
 SPLIT = 500
 #: Longer words are hashed one by one.
@@ -189,50 +193,108 @@ def _prefixes(levels: np.ndarray):
     return run
 
 
-def _sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # repeated rows give one set per task; a second one changes no result
-    for b in batches(it):
-        rows = {c: t for c, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True) if c not in seen}
-        if len(seen) > 1_000_000:
-            seen.clear()
-        seen.update(rows)
-        sets = [shingles(t) for t in rows.values()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(rows), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
+def _facts(of):
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows give one row per task; a second one changes no result
+        for b in batches(it):
+            rows = {c: t for c, t in zip(b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True) if c not in seen}
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([of(shingles(t)) for t in rows.values()], pa.binary())], names=["cls", "facts"])
+
+    return run
+
+
+def _exact(percent: int):
+    def links(own: bytes, other: bytes) -> bool:
+        a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    return links
+
+
+def _admits(percent: int):
+    def links(own: bytes, other: bytes) -> bool:
+        a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+        both, a, b = int(a[0] + b[0]), a[1:], b[1:]
+        while len(a) != len(b):
+            a, b = (_halved(a), b) if len(a) > len(b) else (a, _halved(b))
+        return int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (100 - percent) * both
+
+    return links
+
+
+def _halved(bits: np.ndarray) -> np.ndarray:
+    return bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
 
 
-def _compare(percent: int):
+def wide(s: np.ndarray) -> bytes:
+    """The size of the set and the parity of its shingles on at least two bits a shingle.
+
+    The high half of a bitmap folds on the low half, which gives that of half as many bits."""
+    n = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = (np.bincount((mix(s, 300) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)
+    return np.uint64(len(s)).tobytes() + np.packbits(bits).tobytes()
+
+
+def _held(links):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches(it):
             out = []
-            for a, kind, cls, items in zip(*(b.column(c).to_pylist() for c in ("a", "kind", "cls", "items")), strict=True):
-                s = np.frombuffer(items, np.uint64)
+            for a, kind, cls, facts in zip(*(b.column(c).to_pylist() for c in ("a", "kind", "cls", "facts")), strict=True):
                 if kind == 0:
-                    own = s
-                else:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        out.append((a, cls))
+                    own = facts
+                elif links(own, facts):
+                    out.append((a, cls))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs (a, b) of classes those that link.  A class with many partners is
-    compared with them in several tasks; a task streams its partners past it."""
+def _met(pairs: DataFrame, facts: DataFrame, links) -> DataFrame:
+    """Of the pairs (a, b) of classes those whose facts (cls, facts) pass ``links``.  A class with
+    many partners is compared with them in several tasks; a task streams its partners past it."""
     parts = F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")
     left = materialise(pairs.groupBy("a").agg(parts), "partners")
-    others = materialise(pairs.join(left, "a"), "partner-pairs")
+    others = materialise(pairs.select("a", "b").join(left, "a"), "partner-pairs")
     if others.count() <= BROADCAST_ROWS:  # then the sets move once only
         left, others = F.broadcast(left), F.broadcast(others)
-    items = sets.select("cls", "items")
-    owners = left.join(items, left["a"] == items["cls"]).select("a", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), F.lit(0).alias("kind"), "cls", "items")
+    owners = left.join(facts, left["a"] == facts["cls"]).select("a", F.explode(F.sequence(F.lit(1), "parts")).alias("part"), F.lit(0).alias("kind"), "cls", "facts")
     part = (F.pmod(F.xxhash64("b"), F.col("parts")) + 1).cast("int")
-    others = others.join(items, F.col("b") == items["cls"]).select("a", part.alias("part"), F.lit(1).alias("kind"), "cls", "items")
-    rows = owners.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "cls", "items")
-    return rows.mapInArrow(_compare(percent), "a long, b long")
+    others = others.join(facts, F.col("b") == facts["cls"]).select("a", part.alias("part"), F.lit(1).alias("kind"), "cls", "facts")
+    rows = owners.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "cls", "facts")
+    return rows.mapInArrow(_held(links), "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the pairs (a, b) of classes those that link."""
+    return _met(pairs, sets, _exact(percent))
+
+
+def nearest(pairs: DataFrame, sets: DataFrame, near: DataFrame | None, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, components, open pairs): in each round every class is compared with the nearest of
+    its partners (a, b, differ).  Pairs that this brings into one component can't change the result."""
+    roots = None if near is None else components(near)
+    for _ in range(NEAREST_ROUNDS):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b", "differ")
+        best = ends.groupBy("cls").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = materialise(best, "nearest-pairs")
+        if best.isEmpty() and roots is not None:
+            break
+        found = materialise(linked(best, sets, percent), "links")
+        near = found if near is None else near.unionByName(found)
+        roots = components(near)
+        pairs = materialise(apart(pairs.join(best, ["a", "b"], "left_anti"), roots), "open-pairs")
+    return near, roots, pairs
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, differ) whose classes are of different components."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "differ")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,35 +314,39 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, items): the sets of the classes in the pairs, from a text of each."""
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, of=np.ndarray.tobytes) -> DataFrame:
+    """(cls, facts): the sets, or what ``of`` makes of them, of the classes in the pairs, from a text of each."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     reps = classes.join(needed, "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
     reps = materialise(reps, "representatives")
     side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     texts = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (text_hash(docs["text"]) == side["_th"])).select("cls", "text")
-    return materialise(texts.mapInArrow(_sets, "cls long, items binary"), "sets")
+    return materialise(texts.mapInArrow(_facts(of), "cls long, facts binary"), "sets")
 
 
 def leaders(rows: DataFrame) -> DataFrame:
-    """(a, b): for each class the class that leads most of its keys."""
+    """(a, b): each class with the classes that lead its keys, the least and the greatest of each key."""
     keys = rows.select("cls", F.explode("keys").alias("key"))
-    least = materialise(keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").drop("z"), "leaders")
-    votes = keys.join(least, "key").where("a <> cls").groupBy("cls", "a").agg(F.count("*").alias("votes"))
-    return votes.groupBy("cls").agg(F.max_by("a", F.struct("votes", F.col("a"))).alias("a")).select("a", F.col("cls").alias("b"))
+    ends = keys.groupBy("key").agg(F.min("cls").alias("y"), F.max("cls").alias("z")).where("y <> z")
+    led = keys.join(materialise(ends, "leaders"), "key").select(F.explode(F.array("y", "z")).alias("l"), "cls").where("l <> cls")
+    return led.select(F.least("l", "cls").alias("a"), F.greatest("l", "cls").alias("b")).distinct()
+
+
+def differing(a: str, b: str, words: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(words)])
 
 
 def may_link(a: str, b: str, words: int, percent: int = PERCENT) -> Column:
     """Sizes and bitmaps admit a link: the overlap is at most (sizes - differing bits) / 2."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(words)])
     m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ * (100 + percent) <= (100 - percent) * (m + n))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differing(a, b, words) * (100 + percent) <= (100 - percent) * (m + n))
 
 
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that the whole bitmaps admit."""
+    """(a, b, differ): the pairs that the whole bitmaps admit, and the share in which those differ."""
     a, b = (classes.select(F.col("cls").alias(x), F.struct("n", "bits").alias(f"_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b", BITS // 64, percent)).select("a", "b")
+    share = (differing("_a", "_b", BITS // 64) / (F.col("_a.n") + F.col("_b.n"))).alias("differ")
+    return pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b", BITS // 64, percent)).select("a", "b", share)
 
 
 def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -313,16 +379,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialise(classes, "classes")
     if not classes.where("p <> q").isEmpty():
         raise ValueError("two sets share a 64-bit class; change the seeds of signature()")
-    stars = materialise(bounded(leaders(classes), classes, percent), "stars")
-    sets = sets_of(docs, classes, stars)
-    near = materialise(linked(stars, sets, percent), "links")
+    led = materialise(bounded(leaders(classes), classes, percent), "led-pairs")
+    near, roots, _ = nearest(led, sets_of(docs, classes, led), None, percent)
     sent = spark.sparkContext.broadcast(order_levels(found))
     tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value)(it), "token long, cls long").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("r"), F.max("cls").alias("s")).where("r <> s").select("token")
     tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")  # one exchange serves all of it
-    pairs = materialise(bounded(tiles(tokens, classes, components(near), percent), classes, percent), "tile-pairs")
-    more = linked(pairs, sets_of(docs, classes, pairs), percent)
-    roots = components(near.unionByName(more))
+    pairs = materialise(bounded(tiles(tokens, classes, roots, percent), classes, percent), "tile-pairs")
+    admitted = _met(pairs, sets_of(docs, classes, pairs, wide), _admits(percent))
+    pairs = materialise(pairs.join(admitted, ["a", "b"]), "wide-pairs")
+    sets = sets_of(docs, classes, pairs)
+    near, _, pairs = nearest(pairs, sets, near, percent)
+    roots = components(near.unionByName(linked(pairs, sets, percent)))
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = materialise(named, "class-roots")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
