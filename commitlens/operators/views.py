@@ -3,8 +3,7 @@
 Every statistics view keeps only active commits (``weight > 0``); list views
 keep their own rule.  Views aggregate on ``repository_id`` and attach the
 repository name *after* aggregating, so the shuffle carries an int key and the
-join runs on the small aggregate.  ``repositories`` is broadcast only after
-its row count was checked against a bound (``dimension``).
+join runs on the small aggregate; AQE picks its kind from run-time sizes.
 
 Nothing here sorts: declared view orders are applied by ``presented`` (L1)
 so that views stay composable (a filter on a group key is pushed below the
@@ -18,27 +17,15 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from . import metrics as M
-from .sizing import broadcast_if_within
 
 # Fixed value: label of commits without category in the personal views.
 UNCATEGORIZED = "UNCATEGORIZED"
-# Largest dimension table broadcast without further thought.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def dimension(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its checked row count is within ``max_rows``.
-
-    Above the bound the plain DataFrame is returned and Spark plans a shuffle
-    join (AQE can still switch to broadcast from runtime sizes).
-    """
-    return broadcast_if_within(df, max_rows)
 
 
 def repo_names(repositories: DataFrame) -> DataFrame:
-    return dimension(repositories.select(F.col("id").alias("repository_id"),
-                                         F.col("name").alias("repository_name"),
-                                         F.col("url").alias("repository_url")))
+    return repositories.select(F.col("id").alias("repository_id"),
+                               F.col("name").alias("repository_name"),
+                               F.col("url").alias("repository_url"))
 
 
 # ------------------------------------------------------------- filters ----
@@ -88,8 +75,7 @@ def _with_category_weight(rows: DataFrame, category_weights: DataFrame | None) -
     so ``category_weight`` (NULL when unlisted) is a key right after the category."""
     if category_weights is None:
         return rows, []
-    dims = dimension(category_weights.select(F.col("name").alias("category"),
-                                             F.col("weight").alias("category_weight")))
+    dims = category_weights.select(F.col("name").alias("category"), F.col("weight").alias("category_weight"))
     return rows.join(dims, "category", "left"), [_k("category_weight")]
 
 

@@ -18,15 +18,12 @@ subject is exploded into the prefixes of its reference runs (a needle occurs in
 a text exactly when it prefixes one of the text's runs), and needles are
 equi-joined on ``(repository_id, token)``.  The fan-out is linear in the
 number of digits, there is no cartesian product, and a huge repository is
-spread over many join keys.  Hot tokens (short prefixes shared by many
-subjects) are split by AQE's skew-join handling.
-
-Broadcast path: the needles (one row per revert reference) and the zeroed
-keys are small next to the commit table.  Each is written once with a
-reliable ``checkpoint`` (cutting lineage, so neither is recomputed), counted on
-that copy and, when within its bound, broadcast: the reference tokens of all
-commits are then matched map-side and the weights are set map-side, so the
-commit table is never shuffled.  Above a bound the shuffle joins above are used.
+spread over many join keys.
+
+Only J3 and the dry run list pairs.  The zeroed keys need none: per token, the least
+and the greatest hash on either side tell whether there is another commit than
+the own one, so a token shared by many reverts and many commits costs their sum.
+All of it is one lazy plan; AQE picks the joins from run-time sizes.
 """
 
 from __future__ import annotations
@@ -37,14 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .sizing import broadcast_if_within
 
 COMPATIBLE = "compatible"
 DOCUMENTED = "documented"
-# Largest needle set / zeroed-key set broadcast (rows; ~100 bytes each).
-NEEDLES_BROADCAST_MAX = 2_000_000
-ZEROED_BROADCAST_MAX = 5_000_000
-REPOSITORIES_BROADCAST_MAX = 1_000_000
 
 
 def revert_needles(commits: DataFrame) -> DataFrame:
@@ -70,23 +62,27 @@ def original_tokens(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
 
 def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """(repository_id, revert_hash, token, original_hash) pairs, revert excluded."""
-    # Needles are few (one per revert reference): written once, size-checked on
-    # that copy, then broadcast or shuffled.
-    needles = broadcast_if_within(revert_needles(commits).checkpoint(eager=True), NEEDLES_BROADCAST_MAX)
     originals = original_tokens(commits, mode)
-    return (needles.join(originals, ["repository_id", "token"], "inner")
+    return (revert_needles(commits).join(originals, ["repository_id", "token"], "inner")
             .where(F.col("revert_hash") != F.col("original_hash"))
             .select("repository_id", "revert_hash", "token", "original_hash"))
 
 
-def zeroed_keys(matches: DataFrame) -> DataFrame:
+def zeroed_keys(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """Distinct (repository_id, hash) of reverts with a match and of their originals.
 
-    Both sides of each pair come out of one pass over the matches (an array
-    explode), so the join is computed once; ``distinct`` pre-aggregates map-side.
+    A commit counts on one side of a token when the other side holds a hash that
+    differs from its own, that is when the least or the greatest one there does.
     """
-    both = F.explode(F.array(F.col("revert_hash"), F.col("original_hash"))).alias("hash")
-    return matches.select("repository_id", both).distinct()
+    key = ["repository_id", "token"]
+    reverts = revert_needles(commits).withColumnRenamed("revert_hash", "hash")
+    originals = original_tokens(commits, mode).withColumnRenamed("original_hash", "hash")
+    by_reverts = reverts.groupBy(*key).agg(F.min("hash").alias("_lo"), F.max("hash").alias("_hi"))
+    hits = originals.join(by_reverts, key)
+    by_originals = hits.groupBy(*key).agg(F.min("hash").alias("_lo"), F.max("hash").alias("_hi"))
+    other = (F.col("_lo") != F.col("hash")) | (F.col("_hi") != F.col("hash"))
+    found = hits.where(other).unionByName(reverts.join(by_originals, key).where(other))
+    return found.select("repository_id", "hash").distinct()
 
 
 def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
@@ -98,12 +94,8 @@ def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
     """
     scope = commits
     if repository_ids is not None:
-        ids = broadcast_if_within(repository_ids.select("repository_id").distinct(), REPOSITORIES_BROADCAST_MAX)
-        scope = commits.join(ids, "repository_id", "left_semi")
-    # The zeroed keys are written once to the checkpoint folder: the size check
-    # and the final join then read that copy instead of matching twice.
-    zero = zeroed_keys(revert_matches(scope, mode)).withColumn("_zeroed", F.lit(True)).checkpoint(eager=True)
-    zero = broadcast_if_within(zero, ZEROED_BROADCAST_MAX)
+        scope = commits.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
+    zero = zeroed_keys(scope, mode).withColumn("_zeroed", F.lit(True))
     cols = commits.columns
     out = commits.join(zero, ["repository_id", "hash"], "left")
     return out.select(*[

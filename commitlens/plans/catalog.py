@@ -2,8 +2,8 @@
 
 Names follow ``<survey id>_<short name>``.  Every builder takes
 ``(spark, sf_dir)``, reads the driver tables under ``sf_dir`` and returns a
-DataFrame.  Builders over the weighted commit table run size checks and write checkpoints
-while they build; the others are lazy.
+DataFrame.  Builders are lazy but for S4 and S6 (largest id), Q23 (total) and
+the ranks of W1 and S6, which write a checkpoint.
 """
 
 from __future__ import annotations

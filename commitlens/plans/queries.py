@@ -531,7 +531,7 @@ def repository_share(commits: DataFrame, repositories: DataFrame, include_revert
     """Each repository's share of all commits.
 
     The window runs over the per-repository aggregate, whose size is bounded by
-    the (size-checked) repositories dimension, not by the commits.
+    the repositories, not by the commits.
     """
     g = (_scope(commits, include_reverted).groupBy("repository_id")
          .agg(F.count(F.lit(1)).alias("total_commits"))

@@ -100,7 +100,7 @@ def revert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zeroed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.zeroed_keys(W.revert_matches(loaded_commits(spark, sf_dir)))
+    return W.zeroed_keys(loaded_commits(spark, sf_dir))
 
 
 def weights_after(spark: SparkSession, sf_dir: str, mode: str = W.COMPATIBLE) -> DataFrame:

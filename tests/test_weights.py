@@ -92,10 +92,33 @@ def test_never_raises_a_weight(spark):
     assert got == {(1, "x"): 0, (1, "y"): 0}
 
 
-def test_shuffle_fallback_equals_broadcast_path(spark, sf_small, monkeypatch):
+def test_whole_table_equals_brute_force(spark, sf_small):
     c = tables.loaded_commits(spark, sf_small).select("repository_id", "hash", "subject", "weight")
     rows = [tuple(r) for r in c.collect()]
-    expected = brute_force(rows)
-    monkeypatch.setattr(W, "NEEDLES_BROADCAST_MAX", 0)
-    monkeypatch.setattr(W, "ZEROED_BROADCAST_MAX", 0)
-    assert run(spark, rows) == expected      # shuffle joins only
+    assert run(spark, rows) == brute_force(rows)
+
+
+def test_hot_token_is_zeroed_without_pairs(spark):
+    """1,000 reverts of a number that 100,000 commits carry: 100 million pairs if they were listed."""
+    i = F.col("id")
+    df = spark.range(101_000).select(
+        F.lit(1).alias("repository_id"), F.md5(i.cast("string")).alias("hash"),
+        F.when(i < 1000, F.lit("Revert (#1)")).otherwise(F.concat(F.lit("work (#1"), i.cast("string"), F.lit(")"))).alias("subject"),
+        F.lit(100).alias("weight"))
+    assert W.apply_revert_weights(df).agg(F.sum("weight")).first()[0] == 0
+    assert W.zeroed_keys(df).count() == 101_000
+
+
+def test_building_runs_no_job(spark, sf_small):
+    from commitlens.operators import views as V
+
+    def build():
+        return V.monthly_stats_by_repo(V.active(tables.commits(spark, sf_small)), tables.repositories(spark, sf_small))
+
+    build()  # reads the footers of the tables
+    spark.sparkContext.setJobGroup("building", "building a query")
+    build()
+    try:
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
