@@ -2,8 +2,7 @@
 
 Names follow ``<survey id>_<short name>``.  Every builder takes
 ``(spark, sf_dir)``, reads the driver tables under ``sf_dir`` and returns a
-DataFrame.  Builders are lazy but for S4 and S6 (largest id), Q23 (total) and
-the ranks of W1 and S6, which write a checkpoint.
+DataFrame.  Builders are lazy but for W1 and S6, whose ranks write a checkpoint.
 """
 
 from __future__ import annotations

@@ -406,8 +406,8 @@ def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
     """Q23: each category's percent of commits and of weighted lines.
 
     Monthly: the month totals come from a window over the small per-(month,
-    category) aggregate, partitioned by month.  Overall: the two totals are one
-    global aggregate read back as scalars, so no window spans all categories.
+    category) aggregate, partitioned by month.  Overall: the two totals are a
+    one-row subquery over the same aggregate, so no window spans all categories.
     """
     c = V.categorized(commits)
     lines_w = (F.col("lines_added").cast("long") + F.col("lines_deleted").cast("long")) * F.col("weight").cast("long")
@@ -419,8 +419,8 @@ def category_share(commits: DataFrame, monthly: bool = True) -> DataFrame:
         w = Window.partitionBy("month_start_date")
         g = g.withColumn("_tn", F.sum("total_commits").over(w)).withColumn("_tw", F.sum("_slw").over(w))
     else:
-        tot = c.agg(F.count(F.lit(1)).alias("n"), F.sum(lines_w).alias("w")).first()
-        g = g.withColumn("_tn", F.lit(tot["n"]).cast("long")).withColumn("_tw", F.lit(tot["w"]).cast("long"))
+        total = g.agg(F.struct(F.sum("total_commits").alias("n"), F.sum("_slw").alias("w"))).scalar()
+        g = g.withColumn("_tn", total["n"]).withColumn("_tw", total["w"])
     out_keys = ["month_start_date", "year_month"] if monthly else []
     return g.select(*out_keys, "category", "total_commits",
                     (F.col("_slw").cast("double") / 100).alias("weighted_lines_changed"),
@@ -530,13 +530,12 @@ def month_over_month(commits: DataFrame, repositories: DataFrame) -> DataFrame:
 def repository_share(commits: DataFrame, repositories: DataFrame, include_reverted: bool = False) -> DataFrame:
     """Each repository's share of all commits.
 
-    The window runs over the per-repository aggregate, whose size is bounded by
-    the repositories, not by the commits.
+    The total is a one-row subquery over the per-repository aggregate.
     """
     g = (_scope(commits, include_reverted).groupBy("repository_id")
          .agg(F.count(F.lit(1)).alias("total_commits"))
          .join(V.repo_names(repositories), "repository_id", "inner"))
-    g = g.withColumn("_all", F.sum("total_commits").over(Window.partitionBy()))
+    g = g.withColumn("_all", g.agg(F.sum("total_commits")).scalar())
     return g.select("repository_name", "total_commits",
                     ratio("total_commits * 100", "_all", 1).alias("share_pct"))
 
