@@ -4,11 +4,9 @@ Lines are normalised (A-Z lowered, white space folded, digits to 0) and hashed.
 distinct documents of each line are counted; lines above the limit are removed, and
 documents of which too little remains are rejected.
 
-Copies would make every line of a much copied text look like boilerplate.  A line's
-documents are therefore told apart by their other lines: by the smallest hash among them.
-Exact copies count once, near copies a few times, and a line is above the limit when it
-stands among more than ``max_docs`` such different neighbours, in at least a quarter as
-many neighbourhoods as texts.
+Copies would make every line of a much copied text look like boilerplate.  Documents of one
+text therefore count once; a line is above the limit when more than ``max_docs`` different
+texts of the host hold it, whatever other lines these have.
 
 Defined cases: null text has no words and fails the base rules; a null host counts as
 the empty host; repeated rows are judged one by one; an empty table gives an empty result.
@@ -61,8 +59,8 @@ def line_key(words: list[bytes]) -> int:
     return int.from_bytes(md5(folded.encode()).digest()[:8], "big") - (1 << 63)
 
 
-def measure(text: str | None) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """The base metrics, and per distinct line: hash, neighbour, words in all its occurrences."""
+def measure(text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
+    """The base metrics, and per distinct line: hash, words in all its occurrences."""
     text = text or ""
     seen: set[str] = set()
     lines: dict[int, int] = {}
@@ -77,9 +75,7 @@ def measure(text: str | None) -> tuple[list[int], list[tuple[int, int, int]]]:
             lines[key] = lines.get(key, 0) + len(words)
     words = text.encode().split()
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    least = sorted(lines)[:2]
-    near = [(h, (least[1] if h == least[0] else least[0]) if len(least) > 1 else 0, n) for h, n in lines.items()]
-    return [len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeat_words(words)], near
+    return [len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeat_words(words)], list(lines.items())
 
 
 def _measured(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +83,8 @@ def _measured(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metrics, lines = zip(*map(measure, b.column("text").to_pylist()), strict=True)
         flat = [x for row in lines for x in row]
         offsets = np.cumsum([0, *map(len, lines)])
-        fields = [pa.array([x[i] for x in flat], pa.int64()) for i in range(3)]
-        struct = pa.StructArray.from_arrays(fields, names=["h", "near", "words"])
+        fields = [pa.array([x[i] for x in flat], pa.int64()) for i in range(2)]
+        struct = pa.StructArray.from_arrays(fields, names=["h", "words"])
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("host"), b.column("th"), *(pa.array(c, pa.int64()) for c in zip(*metrics, strict=True)),
              pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)],
@@ -101,15 +97,13 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
                        text_hash(F.col("text")).alias("th"), "text")
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_measured, f"doc_id {id_type}, host string, th long, " + ", ".join(f"{m} long" for m in _METRICS)
-                           + ", lines array<struct<h: long, near: long, words: long>>")
+                           + ", lines array<struct<h: long, words: long>>")
 
 
 def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, h) of the lines above the limit.  Each step pre-aggregates before it shuffles."""
-    lines = rows.select("host", "th", F.explode("lines").alias("l")).select("host", "th", "l.h", "l.near").distinct()
-    near = lines.groupBy("host", "h", "near").agg(F.count("*").alias("n"))
-    both = near.groupBy("host", "h").agg(F.count("*").alias("places"), F.sum("n").alias("texts"))
-    return both.where((F.col("places") > max_docs) & (F.col("places") * 4 >= F.col("texts"))).select("host", "h")
+    lines = rows.select("host", "th", F.explode("lines").alias("l")).select("host", "th", "l.h").distinct()
+    return lines.groupBy("host", "h").agg(F.count("*").alias("texts")).where(F.col("texts") > max_docs).select("host", "h")
 
 
 def judged(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:

@@ -110,6 +110,14 @@ def test_quality(spark, hostile, none):
     assert 100 not in cleaned and boiler not in cleaned[3] and cleaned[205] == body(7, 5)
 
 
+def test_quality_counts_lines_of_pages_that_are_mostly_boilerplate(spark):
+    menu = [" ".join(f"m{k}w{j}".translate(LETTERS) for j in range(6)) for k in range(20)]
+    own = lambda i: [" ".join(f"p{i}l{j}w{k}".translate(LETTERS) for k in range(30)) for j in range(2)]
+    pages = docs(spark, [(i, "\n".join(menu + own(i)), "h") for i in range(60)] + [(100 + i, "\n".join(menu + own(0)), "few") for i in range(60)])
+    cleaned = {r.doc_id: r.text for r in quality.clean_documents(pages, min_left_pct=10).collect()}
+    assert cleaned == {i: "\n".join(own(i)) for i in range(60)} | {100 + i: "\n".join(menu + own(0)) for i in range(60)}
+
+
 def test_token_files(spark, hostile, none):
     from tokenizers import Tokenizer
 
