@@ -1,12 +1,13 @@
 """Benchmark decontamination by canonical templates, with DataFrame functions only.
 
-A text becomes a template: numbers, units after numbers, and names (capitalised words inside a
-sentence) turn into typed placeholders, marks go, letters are lowered.  Windows of five
-template tokens are hashed and joined with those of the benchmark.  Windows that
-match along one alignment of a document with an item must agree on the slots: one
-item value stands for one document value and the other way round, so the same question
-with other numbers is caught and a chance likeness of templates is not.  A document is
-contaminated by an item when at least ``MIN_COVER`` of the item's windows match so.
+A text becomes a template: numbers, units after numbers, and names (capitalised words, wherever
+they stand) turn into typed placeholders, marks go, letters are lowered.  Windows of five
+template tokens are hashed and joined with those of the benchmark; windows with names are hashed
+a second time with the names as plain words, so that copies in other letters are found too.
+Windows that match along one alignment of a document with an item must agree on the
+slots: one item value stands for one document value and the other way round, so the
+same question with other numbers is caught; an alignment of nothing but changed slots is left out.  A document is contaminated by an item when at least
+``MIN_COVER`` of the item's windows match so, with names as slots or with names as words.
 
 Defined cases: a null or empty text has no windows; a shorter text or item is one window;
 repeated rows are judged alike; equal items are items of their own; empty tables give
@@ -29,10 +30,10 @@ UNITS = ("%", "kg", "g", "mg", "km", "cm", "mm", "m", "miles", "mile", "feet", "
 _UNITS = "|".join(UNITS[1:])
 #: Each pattern looks at one character before anything costly.  Signs that a text has of its own count as slots.
 _STEPS = (
-    (r"(?=\p{Lu})(?<=[^\s.!?][ \t]{1,4})([\p{L}]+)", f"{NAME}$1"),
     (r"(?=[0-9])(?<![\p{L}\p{N}.,])([0-9]+(?:[.,][0-9]+)*)(?![\p{L}\p{N}])", f" {NUMBER}$1 "),
-    (rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.,])([0-9]+(?:[.,][0-9]+)*)(?=(?:{_UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 "),
-    (rf"{NUMBER}([0-9.,]+)[ \t]*(%|(?:{_UNITS})(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2 "),
+    (rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.,])([0-9]+(?:[.,][0-9]+)*)(?=(?i:{_UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 "),
+    (rf"{NUMBER}([0-9.,]+)\s*(%|(?i:{_UNITS})(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2 "),
+    (rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}])(\p{{L}}+)", f" {NAME}$1"),
     (rf"[^a-zA-Z0-9\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}%.,]+|[.,]+(?![0-9])|(?<![0-9])[.,]+", " "),
 )
 
@@ -45,20 +46,31 @@ def marked(text: Column) -> Column:
 
 
 def windows(df: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, h, at, slots, total): a row per window; slots holds its values, without their tokens between."""
+    """(*keep, h, names, at, slots, total, plain): a row per window, and another with its names as words if it has any.
+
+    names: 1 names are slots, 0 they are words, null there are none.  slots holds the values of all slots,
+    without their tokens between; plain: some token is no slot."""
     sign = f"[{NAME}-{UNIT}]"
     df = df.select(*keep, marked(F.coalesce("text", F.lit(""))).alias("_m"))
     # No filter on _m: it would be pushed down and mark the text twice.  Without slots the template is the text itself.
-    has = F.contains("_m", F.lit(NAME)) | F.contains("_m", F.lit(NUMBER)) | F.contains("_m", F.lit(UNIT))
-    df = df.select(*keep, F.split("_m", " +").alias("raw"), F.when(has, F.split(F.regexp_replace("_m", f"({sign})[^ ]*", "$1"), " +")).alias("tpl"))
-    df = df.select(*keep, "raw", F.coalesce("tpl", "raw").alias("tpl"), F.col("tpl").isNotNull().alias("_any"))
-    last = F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1))
-    some = F.when((F.size("tpl") == 1) & (F.element_at("tpl", 1) == ""), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), last))
+    named = F.contains("_m", F.lit(NAME))
+    has = named | F.contains("_m", F.lit(NUMBER)) | F.contains("_m", F.lit(UNIT))
+    df = df.select(*keep, F.split("_m", " +").alias("raw"), F.when(has, F.split(F.regexp_replace("_m", f"({sign})[^ ]*", "$1"), " +")).alias("tpl"),
+                   F.when(named, F.split(F.regexp_replace(F.translate("_m", NAME, ""), f"([{NUMBER}{UNIT}])[^ ]*", "$1"), " +")).alias("low"))
+    df = df.select(*keep, "raw", F.coalesce("tpl", "raw").alias("tpl"), "low", F.col("tpl").isNotNull().alias("_any"))
+    # Sizes are columns before the windows are told: behind the explode they would carry the tokens into each row.
+    df = df.select("*", F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1)).alias("total"), F.least(F.size("tpl"), F.lit(WIDTH)).alias("_wide"))
+    some = F.when((F.size("tpl") == 1) & (F.element_at("tpl", 1) == ""), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("total")))
     none = F.array().cast("array<string>")
+    over = lambda tokens, i: F.xxhash64(*(F.get(tokens, i + (k - 1)) for k in range(WIDTH)))
     one = lambda i: F.struct(
-        F.xxhash64(*(F.get("tpl", i + (k - 1)) for k in range(WIDTH))).alias("h"), i.alias("at"),
+        over("tpl", i).alias("h"), F.when(F.col("low").isNotNull(), over("low", i)).alias("g"), i.alias("at"),
         F.when(F.col("_any"), F.filter(F.slice("raw", i, F.lit(WIDTH)), lambda t: F.substring(t, 1, 1).between(NAME, UNIT))).otherwise(none).alias("slots"))
-    return df.select(*keep, last.alias("total"), F.explode(F.transform(some, one)).alias("w")).select(*keep, "total", "w.*")
+    df = df.select(*keep, "total", "_wide", F.explode(F.transform(some, one)).alias("w"))
+    way = lambda h, names: F.struct(F.col(h).alias("h"), F.lit(names).cast("int").alias("names"))
+    ways = F.when(F.col("w.h") == F.coalesce("w.g", "w.h"), F.array(way("w.h", None))).otherwise(F.array(way("w.h", 1), way("w.g", 0)))
+    return df.select(*keep, "total", "w.at", "w.slots", (F.size("w.slots") < F.col("_wide")).alias("plain"), F.explode(ways).alias("y")).select(
+        *keep, "y.h", "y.names", "at", "slots", "total", "plain")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
@@ -66,20 +78,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_C
     changed: a slot has another value than the item's."""
     items = benchmark.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text")
     items = materialise(windows(items, "_item", "item_id"), "benchmark-windows").select(
-        "_item", "item_id", F.col("total").alias("windows"), "h", F.col("at").alias("i"), F.col("slots").alias("theirs"))
+        "_item", "item_id", F.col("total").alias("windows"), "h", F.col("names").alias("named"), F.col("at").alias("i"), F.col("slots").alias("theirs"))
     side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     hits = windows(rows, "doc_id", "th").drop("total").join(side, "h")
+    # Windows without names on either side count both with names as slots and with names as words.
+    hits = hits.withColumn("way", F.explode(F.when(F.col("names").isNull() & F.col("named").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.coalesce("names", "named")))))
+    typed = lambda c: F.when(F.col("way") == 1, F.col(c)).otherwise(F.filter(c, lambda t: F.substring(t, 1, 1) != NAME))
+    hits = hits.withColumn("theirs", typed("theirs")).withColumn("slots", typed("slots"))
     doc = ["doc_id", "th", "_item", "item_id", "windows"]
     # Along one alignment every window of the item occurs once, so the lists are no longer than the item.
-    along = hits.groupBy(*doc, (F.col("at") - F.col("i")).alias("shift")).agg(
-        F.collect_set("i").alias("at"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("theirs", "slots")))).alias("pairs"))
-    ours, theirs = F.array_distinct(F.col("pairs.slots")), F.array_distinct(F.col("pairs.theirs"))
-    along = along.where((F.size("pairs") == F.size(ours)) & (F.size("pairs") == F.size(theirs)))
-    along = along.withColumn("changed", F.exists("pairs", lambda p: ~p["slots"].eqNullSafe(p["theirs"])))
-    found = along.select(*doc, "changed", F.explode("at").alias("i")).groupBy(*doc).agg(
+    along = hits.groupBy(*doc, "way", (F.col("at") - F.col("i")).alias("shift")).agg(
+        F.collect_set(F.struct("i", "plain", F.arrays_zip("theirs", "slots").alias("pairs"))).alias("hits"))
+    pairs = F.array_distinct(F.flatten("hits.pairs"))
+    ours, theirs = F.array_distinct(pairs["slots"]), F.array_distinct(pairs["theirs"])
+    along = along.where((F.size(pairs) == F.size(ours)) & (F.size(pairs) == F.size(theirs)))
+    along = along.withColumn("changed", F.exists("hits", lambda w: F.exists(w["pairs"], lambda p: ~p["slots"].eqNullSafe(p["theirs"]))))
+    along = along.where(~F.col("changed") | F.exists("hits", lambda w: w["plain"]))
+    found = along.select(*doc, "way", "changed", F.explode("hits.i").alias("i")).groupBy(*doc, "way").agg(
         F.countDistinct("i").alias("matched"), F.max("changed").alias("changed"))
-    return found.where(F.col("matched") >= F.col("windows") * min_cover).drop("_item")
+    found = found.where(F.col("matched") >= F.col("windows") * min_cover)
+    return found.groupBy(*doc).agg(F.max("matched").alias("matched"), F.max("changed").alias("changed")).drop("_item")
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,24 @@ def test_decontamination(spark, none):
     assert {r.doc_id for r in decontaminate.clean_documents(docs(spark, rows), bench).collect()} == {3, 4, 5, 7, 8}
 
 
+APPLES = ("Tom has 3 apples in the kitchen of his house. Tom buys 4 more from the shop next door. "
+          "Later Tom gives 2 of them to Berta who lives across the old market. How many does Tom keep?")
+
+
+def held(spark, texts, item):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r.doc_id: r.changed for r in decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect()}
+
+
+def test_decontamination_decides_names_alike_on_both_sides(spark):
+    filler = " ".join(f"f{i}" for i in range(40))
+    renamed = APPLES.replace("Tom", "Anna").replace("Berta", "Carl").replace("3", "5").replace("4", "8")
+    texts = [f"{filler} {t} {filler}" for t in (renamed, APPLES.replace(" ", "\n"), APPLES.lower(), APPLES.upper(), renamed.replace(" ", "\n"))] + [filler.upper(), APPLES[:60]]
+    assert held(spark, texts, APPLES) == {0: True, 1: False, 2: False, 3: False, 4: True}
+    metres = "the runner covers 5 km in 20 minutes and then rests for 90 seconds before Paul starts"
+    assert held(spark, [metres.upper(), metres.replace("5 km", "5\nkm")], metres) == {0: False, 1: False}
+
+
 def test_lattice(spark, hostile, none):
     model = lattice.Pieces([b"th", b"the", b"he"])
     score = dict(zip((model.pieces[i] for i in model.order), model.scores))
