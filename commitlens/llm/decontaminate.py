@@ -5,8 +5,9 @@ they stand) turn into typed placeholders, marks go, letters are lowered.  Window
 template tokens are hashed and joined with those of the benchmark; windows with names are hashed
 a second time with the names as plain words, so that copies in other letters are found too.
 Windows that match along one alignment of a document with an item must agree on the
-slots: one item value stands for one document value and the other way round, so the
-same question with other numbers is caught; an alignment of nothing but changed slots is left out.  A document is contaminated by an item when at least
+slots: one item value stands for one document value (several may stand for the same), so the
+same question with other numbers is caught; windows that hold another value than most do are left out,
+and so is an alignment of nothing but changed slots.  A document is contaminated by an item when at least
 ``MIN_COVER`` of the item's windows match so, with names as slots or with names as words.
 
 Defined cases: a null or empty text has no windows; a shorter text or item is one window;
@@ -73,6 +74,22 @@ def windows(df: DataFrame, *keep: str) -> DataFrame:
         *keep, "y.h", "y.names", "at", "slots", "total", "plain")
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def agreeing(hits: Column) -> Column:
+    """The hits (i, plain, pairs) all of whose pairs of an item's with a document's value are what most hits have for the item's value."""
+    ahead = lambda p, q: (q["theirs"] == p["theirs"]) & ((q["n"] < p["n"]) | ((q["n"] == p["n"]) & (q["slots"] < p["slots"])))
+    votes = lambda pairs: F.transform(F.array_distinct(pairs), lambda p: F.struct(
+        p["theirs"].alias("theirs"), (-F.size(F.filter(pairs, lambda q: q == p))).alias("n"), p["slots"].alias("slots")))
+    lost = lambda v: F.transform(F.filter(v, lambda p: F.exists(v, lambda q: ahead(p, q))), lambda p: F.struct(p["theirs"].alias("theirs"), p["slots"].alias("slots")))
+    kept = lambda out: F.filter(hits, lambda w: ~F.arrays_overlap(w["pairs"], out))
+    single = lambda pairs: F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(pairs["theirs"]))
+    return bound(F.flatten(hits["pairs"]), lambda pairs: F.when(single(pairs), hits).otherwise(bound(votes(pairs), lambda v: bound(lost(v), kept))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, th, item_id, windows, matched, changed): a row per document and item that it holds;
     changed: a slot has another value than the item's."""
@@ -91,9 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_C
     # Along one alignment every window of the item occurs once, so the lists are no longer than the item.
     along = hits.groupBy(*doc, "way", (F.col("at") - F.col("i")).alias("shift")).agg(
         F.collect_set(F.struct("i", "plain", F.arrays_zip("theirs", "slots").alias("pairs"))).alias("hits"))
-    pairs = F.array_distinct(F.flatten("hits.pairs"))
-    ours, theirs = F.array_distinct(pairs["slots"]), F.array_distinct(pairs["theirs"])
-    along = along.where((F.size(pairs) == F.size(ours)) & (F.size(pairs) == F.size(theirs)))
+    along = along.withColumn("hits", agreeing(F.col("hits")))
     along = along.withColumn("changed", F.exists("hits", lambda w: F.exists(w["pairs"], lambda p: ~p["slots"].eqNullSafe(p["theirs"]))))
     along = along.where(~F.col("changed") | F.exists("hits", lambda w: w["plain"]))
     found = along.select(*doc, "way", "changed", F.explode("hits.i").alias("i")).groupBy(*doc, "way").agg(

@@ -199,6 +199,14 @@ def test_decontamination_decides_names_alike_on_both_sides(spark):
     assert held(spark, [metres.upper(), metres.replace("5 km", "5\nkm")], metres) == {0: False, 1: False}
 
 
+def test_decontamination_drops_only_windows_with_a_conflicting_slot(spark):
+    item = "Tom has 3 apples and 5 pears in a basket that stands on the table near the window of his room"
+    assert held(spark, [item.replace("3", "4").replace("5", "4")], item) == {0: True}
+    typo = APPLES.replace("does Tom keep", "does Tim keep")
+    assert held(spark, [typo], APPLES) == {0: False}
+    assert held(spark, ["ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE"], "RED DOG RUNS FAST OVER GREEN HILLS") == {}
+
+
 def test_lattice(spark, hostile, none):
     model = lattice.Pieces([b"th", b"the", b"he"])
     score = dict(zip((model.pieces[i] for i in model.order), model.scores))
