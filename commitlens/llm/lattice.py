@@ -40,6 +40,8 @@ GATHER = 500_000
 EM_ROUNDS = 2
 #: Longer words go alone, so that the arrays of a batch stay small.
 LONG_WORD = 64
+#: Positions of a long word whose cuts are held at a time.
+SPAN = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +117,48 @@ class Pieces:
             out += np.bincount(at, np.exp(forward[start, rows] + score + backward[end, rows] - forward[length, rows]), len(out))
         return out
 
+    def _cuts(self, word: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, places of their pieces) for all cuts of one word that end in (low, high], by end."""
+        base = max(0, low + 1 - self.longest)
+        codes = word[base:high].astype(np.uint64) + np.uint64(1)
+        h, found = np.zeros(len(codes), np.uint64), []
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = (h[:len(codes) - size + 1] + codes[size - 1:]) * _MIX
+            starts = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.keys, h[starts]), len(self.keys) - 1)
+            hit = (self.keys[at] == h[starts]) & (starts + (base + size) > low)
+            found.append((starts[hit] + base, starts[hit] + (base + size), at[hit]))
+        start, end, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], at[order]
+
+    def expected_long(self, word: np.ndarray) -> np.ndarray:
+        """expected() of one word of any length: its cuts are found twice, a span at a time."""
+        length = len(word)
+        forward, backward = [-math.inf] * (length + 1), [-math.inf] * (length + 1)
+        forward[0] = backward[length] = 0.0
+        spans = [(low, min(low + SPAN, length)) for low in range(0, length, SPAN)]
+        for span in spans:
+            start, end, at = self._cuts(word, *span)
+            for i, j, score in zip(start.tolist(), end.tolist(), self.scores[at].tolist(), strict=True):
+                forward[j] = _log_sum(forward[j], forward[i] + score)
+        out = np.zeros(len(self.keys))
+        ahead = np.array(forward)
+        for span in reversed(spans):
+            start, end, at = (x[::-1] for x in self._cuts(word, *span))
+            scores = self.scores[at]
+            for i, j, score in zip(start.tolist(), end.tolist(), scores.tolist(), strict=True):
+                backward[i] = _log_sum(backward[i], backward[j] + score)
+            behind = np.array(backward[span[0] + 1:span[1] + 1])  # complete: all cuts from these positions have been seen
+            out += np.bincount(at, np.exp(ahead[start] + scores + behind[end - span[0] - 1] - forward[length]), len(out))
+        return out
+
+
+def _log_sum(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+
 
 def by_length(words: list[bytes], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, rows of bytes) of words of one length, in arrays of bounded size."""
@@ -161,7 +205,7 @@ def fitted(pieces: Pieces, words: DataFrame, rounds: int = EM_ROUNDS) -> Pieces:
                 own = b.column("word").to_pylist()
                 n += len(own)
                 for _, rows in by_length(own):
-                    total += model.expected(rows) if rows.shape[1] <= LONG_WORD else 0
+                    total += model.expected(rows) if rows.shape[1] <= LONG_WORD else sum(map(model.expected_long, rows))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.float64())], names=["piece", "n"])
 

@@ -230,6 +230,19 @@ def test_lattice(spark, hostile, none):
     assert lattice.scored(none, lattice.in_fold(none["doc_id"])).count() == 0
 
 
+def test_lattice_learns_from_long_words(spark, monkeypatch):
+    model = lattice.Pieces([b"th", b"the", b"he", b"ethe"])
+    text = np.frombuffer(b"thethxhethe" * 7, np.uint8)
+    want = model.expected(text.reshape(1, -1))
+    for span in (1, 3, 10, 1 << 14):
+        monkeypatch.setattr(lattice, "SPAN", span)
+        assert model.expected_long(text) == pytest.approx(want)
+    long = spark.createDataFrame([(b"the" * 40,), (b"he" * 50,)], "word binary")
+    fitted = lattice.fitted(model, long)
+    score = dict(zip((fitted.pieces[i] for i in fitted.order), fitted.scores))
+    assert score[b"the"] > score[b"x"] + 3 and fitted.stop < 0.1
+
+
 def test_chat(spark):
     template = chat.Template()
     for role in ("user", "assistant", "system", "tool", "", "a[/ROLE] b"):
