@@ -119,7 +119,7 @@ def bitmap(s: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(it: Iterable[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "n", "cls", "proof", "keys", "bits", "bucket", "freq"]
     lists = pa.list_(pa.int64())
 
@@ -137,7 +137,7 @@ def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = b.schema.field("doc_id").type
         n, rows = [], []
         for text in b.column("text").to_pylist():
-            s = shingles(text)
+            s = shingles(text, width)
             n.append(len(s))
             rows.append(signature(s) if len(s) else (None, None, None, None))
             gathered.append(s)
@@ -153,12 +153,12 @@ def _described(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows of documents (doc_id, th, n, cls, proof, keys, bits) and of the sketch (bucket, freq)."""
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
     ids = dict(rows.dtypes)["doc_id"]
     return materialise(rows.mapInArrow(
-        _described, f"doc_id {ids}, th long, n long, cls long, proof long, keys array<long>, bits array<long>, bucket long, freq long"), "shingle-classes")
+        lambda it: _described(it, width), f"doc_id {ids}, th long, n long, cls long, proof long, keys array<long>, bits array<long>, bucket long, freq long"), "shingle-classes")
 
 
 def order_levels(found: DataFrame) -> np.ndarray:
@@ -170,13 +170,13 @@ def order_levels(found: DataFrame) -> np.ndarray:
     return levels
 
 
-def _prefixes(levels: np.ndarray):
+def _prefixes(levels: np.ndarray, percent: int = PERCENT, width: int = WIDTH):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches(it):
             out_t, out_c = [], []
             for text in b.column("text").to_pylist():
-                s = shingles(text)
+                s = shingles(text, width)
                 if len(s):
                     cls = int(mix(s, 101).sum(dtype=np.uint64))
                     if cls in seen:
@@ -184,7 +184,7 @@ def _prefixes(levels: np.ndarray):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(cls)
-                    p = prefix(s, levels)
+                    p = prefix(s, levels, percent)
                     out_t.append(p.view(np.int64))
                     out_c.append(np.full(len(p), _signed(cls), np.int64))
             if out_t:
@@ -193,7 +193,7 @@ def _prefixes(levels: np.ndarray):
     return run
 
 
-def _facts(of):
+def _facts(of, width: int = WIDTH):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows give one row per task; a second one changes no result
         for b in batches(it):
@@ -201,7 +201,7 @@ def _facts(of):
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.update(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([of(shingles(t)) for t in rows.values()], pa.binary())], names=["cls", "facts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([of(shingles(t, width)) for t in rows.values()], pa.binary())], names=["cls", "facts"])
 
     return run
 
@@ -314,14 +314,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, of=np.ndarray.tobytes) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, of=np.ndarray.tobytes, width: int = WIDTH) -> DataFrame:
     """(cls, facts): the sets, or what ``of`` makes of them, of the classes in the pairs, from a text of each."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     reps = classes.join(needed, "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
     reps = materialise(reps, "representatives")
     side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     texts = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (text_hash(docs["text"]) == side["_th"])).select("cls", "text")
-    return materialise(texts.mapInArrow(_facts(of), "cls long, facts binary"), "sets")
+    return materialise(texts.mapInArrow(_facts(of, width), "cls long, facts binary"), "sets")
 
 
 def leaders(rows: DataFrame) -> DataFrame:
@@ -368,10 +368,10 @@ def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     return a.join(b, meets).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row of the input: doc_id, th (hash of its text), n_shingles, component_id."""
     spark = docs.sparkSession
-    found = described(docs)
+    found = described(docs, width)
     rows = found.where(F.col("bucket").isNull())
     classes = rows.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"),
@@ -380,15 +380,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not classes.where("p <> q").isEmpty():
         raise ValueError("two sets share a 64-bit class; change the seeds of signature()")
     led = materialise(bounded(leaders(classes), classes, percent), "led-pairs")
-    near, roots, _ = nearest(led, sets_of(docs, classes, led), None, percent)
+    near, roots, _ = nearest(led, sets_of(docs, classes, led, width=width), None, percent)
     sent = spark.sparkContext.broadcast(order_levels(found))
-    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value)(it), "token long, cls long").repartition("token")
+    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value, percent, width)(it), "token long, cls long").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("r"), F.max("cls").alias("s")).where("r <> s").select("token")
     tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")  # one exchange serves all of it
     pairs = materialise(bounded(tiles(tokens, classes, roots, percent), classes, percent), "tile-pairs")
-    admitted = _met(pairs, sets_of(docs, classes, pairs, wide), _admits(percent))
+    admitted = _met(pairs, sets_of(docs, classes, pairs, wide, width), _admits(percent))
     pairs = materialise(pairs.join(admitted, ["a", "b"]), "wide-pairs")
-    sets = sets_of(docs, classes, pairs)
+    sets = sets_of(docs, classes, pairs, width=width)
     near, _, pairs = nearest(pairs, sets, near, percent)
     roots = components(near.unionByName(linked(pairs, sets, percent)))
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))

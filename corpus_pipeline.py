@@ -13,6 +13,8 @@ from commitlens.llm import decontaminate, jaccard, mixing, quality, sharding
 from commitlens.llm.common import materialise, table
 
 SHARDS = 24
+#: The near-duplicate stage's own: words a shingle, and least similarity in percent.  op10 has other values.
+WIDTH, PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.unique_documents(docs)
+    return jaccard.unique_documents(docs, width=WIDTH, percent=PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,6 +285,18 @@ def test_jaccard(spark, hostile, none):
     assert kept.columns == hostile.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7, 8, 9]
 
 
+def test_duplicate_stage_takes_five_words_and_80_percent(spark):
+    grown = lambda i, more: " ".join([f"b{i}w{k}" for k in range(200)] + [f"b{i}m{k}" for k in range(more)])
+    rows = [r for i in range(20) for r in ((2 * i, grown(i, 0), "s"), (2 * i + 1, grown(i, 40 + i), "s"))]
+    kept = {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs(spark, rows), "").collect()}
+    assert kept == {2 * i for i in range(20)} | {2 * i + 1 for i in range(20) if 100 * 196 < 80 * (236 + i)}
+    base = [f"c{k}" for k in range(120)]
+    other = [w if k not in (30, 90) else "x" for k, w in enumerate(base)]
+    five = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    both = len(five(base) & five(other)) * 100 >= 80 * len(five(base) | five(other))
+    assert both and len(corpus_pipeline.duplicate_stage(spark, docs(spark, [(1, " ".join(base), "s"), (2, " ".join(other), "s")]), "").collect()) == 1
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in jaccard.components(edges).collect()}
