@@ -45,7 +45,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Template windows and their slots cannot be told in DuckDB's patterns; tests compare with brute force.
+#: Template windows and their slots cannot be told in DuckDB's patterns; tests take the stages one by one.
 ORACLE_SQL = None
 
 
