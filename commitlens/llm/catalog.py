@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, tokens, urls, warc
+from commitlens.llm import chat, decontaminate, jaccard, lattice, mixing, periodic, quality, sharding, tokens, urls, warc
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_frequency_quality": quality.quality_rules,
     "op9_chat_segments": chat.format_conversations,
     "op10_ngram_jaccard_join": jaccard.near_duplicates,
+    "op11_periodic_runs": periodic.periodic_runs,
 }
 
 ORACLES = {
