@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, jaccard, lattice, mixing, periodic, quality, sharding, tokens, urls, warc
+from commitlens.llm import chat, decontaminate, jaccard, lattice, mixing, packing, periodic, quality, search, sharding, tokens, urls, warc
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.shard_documents,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_chat_segments": chat.format_conversations,
     "op10_ngram_jaccard_join": jaccard.near_duplicates,
     "op11_periodic_runs": periodic.periodic_runs,
+    "op12_lexical_search": search.lexical_search,
+    "op13_sum_of_squares_packing": packing.pack_documents,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op8_line_frequency_quality": quality.OP8_SQL,
     "op9_chat_segments": chat.OP9_SQL,
     "op10_ngram_jaccard_join": jaccard.OP10_SQL,
+    "op12_lexical_search": search.OP12_SQL,
 }
