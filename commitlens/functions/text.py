@@ -244,16 +244,16 @@ def reference_runs(subject) -> Column:
     return F.regexp_extract_all(_col(subject), F.lit(r"([!#][0-9]+)"), 1)
 
 
-def reference_prefixes(subject) -> Column:
-    """Distinct prefixes (sign + at least one digit) of every reference run.
+def reference_prefixes(subject, lengths: Column) -> Column:
+    """Distinct prefixes (sign + at least one digit) of every reference run, of the given lengths.
 
     A needle ``!104`` occurs in a subject exactly when it is a prefix of one of
-    the subject's runs, so joining needles on these prefixes is the substring
-    match of the original rule as an equi-join.  Fan-out is the run length.
+    the subject's runs, so joining needles on the prefixes as long as a needle is the substring
+    match of the original rule as an equi-join.
     """
     runs = reference_runs(subject)
-    prefixes = F.transform(
-        runs, lambda r: F.transform(F.sequence(F.lit(2), F.length(r)), lambda i: r.substr(F.lit(1), i)))
+    prefixes = F.transform(runs, lambda r: F.transform(
+        F.filter(lengths, lambda n: n <= F.length(r)), lambda n: r.substr(F.lit(1), n)))
     return F.array_distinct(F.flatten(prefixes))
 
 
@@ -286,7 +286,20 @@ def iso_date_text(text) -> Column:
     return F.when(parse_git_date(text).isNotNull() & t.rlike(GIT_DATE), iso).otherwise(_col(text))
 
 
-def truncate_diff(diff, max_bytes: int = 10_240):
+def truncate_diff(diff, max_bytes: int):
     """(first ``max_bytes`` bytes of the diff as binary, truncated flag)."""
     raw = F.encode(_col(diff), "UTF-8")
     return F.substring(raw, 1, max_bytes), F.octet_length(raw) > max_bytes
+
+
+def truncate_diff_text(diff, max_bytes: int) -> Column:
+    """T10 as text: the longest prefix of whole characters within ``max_bytes`` bytes of UTF-8.
+
+    The cut moves back over at most three bytes, to where a character begins.
+    """
+    raw = F.encode(_col(diff), "UTF-8")
+    # the byte behind the cut: a continuation byte (10xxxxxx) tells that the cut is inside a character
+    inside = lambda back: F.hex(F.substring(raw, max_bytes + 1 - back, 1)).rlike("^[89AB]")
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    cut = F.decode(F.substring(raw, F.lit(1), F.lit(max_bytes) - back), "UTF-8")
+    return F.when(F.octet_length(raw) <= max_bytes, _col(diff)).otherwise(cut)

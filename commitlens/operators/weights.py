@@ -14,10 +14,11 @@ Matching modes:
   unrevert commits keep their weight.
 
 Plan: instead of comparing every revert with every commit, each commit's
-subject is exploded into the prefixes of its reference runs (a needle occurs in
+subject is exploded into prefixes of its reference runs (a needle occurs in
 a text exactly when it prefixes one of the text's runs), and needles are
-equi-joined on ``(repository_id, token)``.  The fan-out is linear in the
-number of digits, there is no cartesian product, and a huge repository is
+equi-joined on ``(repository_id, token)``.  Only prefixes as long as some needle are made: the lengths
+that needles have come along as a one-row subquery, so a run of any number of digits gives a few tokens and
+no more text than the needles hold.  There is no cartesian product, and a huge repository is
 spread over many join keys.
 
 Only J3 and the dry run list pairs.  The zeroed keys need none: per token, the least
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -46,18 +47,25 @@ def revert_needles(commits: DataFrame) -> DataFrame:
                     F.explode(text.pr_references("subject")).alias("token")))
 
 
+def needle_lengths(commits: DataFrame) -> Column:
+    """The distinct lengths of all needles, as an array: a one-row subquery of the plan."""
+    return revert_needles(commits).agg(F.sort_array(F.collect_set(F.length("token"))).alias("lengths")).scalar()
+
+
+def _with_tokens(commits: DataFrame, mode: str) -> DataFrame:
+    """Add ``_tokens``: every string of a commit's subject that a needle could match."""
+    if mode == COMPATIBLE:
+        return (commits.withColumn("_lengths", needle_lengths(commits))
+                .withColumn("_tokens", text.reference_prefixes("subject", F.col("_lengths"))).drop("_lengths"))
+    if mode == DOCUMENTED:
+        runs = F.array_distinct(text.reference_runs("subject"))
+        return commits.withColumn("_tokens", F.when(~text.is_unrevert("subject"), runs).otherwise(F.array().cast("array<string>")))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def original_tokens(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """(repository_id, original_hash, token): every string a needle could match."""
-    if mode == COMPATIBLE:
-        tokens = text.reference_prefixes("subject")
-        src = commits
-    elif mode == DOCUMENTED:
-        tokens = F.array_distinct(text.reference_runs("subject"))
-        src = commits.where(~text.is_unrevert("subject"))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return src.select("repository_id", F.col("hash").alias("original_hash"),
-                      F.explode(tokens).alias("token"))
+    return _with_tokens(commits, mode).select("repository_id", F.col("hash").alias("original_hash"), F.explode("_tokens").alias("token"))
 
 
 def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
@@ -71,30 +79,32 @@ def revert_matches(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
 def zeroed_keys(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     """Distinct (repository_id, hash) of reverts with a match and of their originals.
 
-    A commit counts on one side of a token when the other side holds a hash that
-    differs from its own, that is when the least or the greatest one there does.
+    One frame of (token, hash, side) meets its own aggregate: a commit counts on one side of a token when the other side
+    holds a hash that differs from its own, that is when the least or the greatest one there does.
     """
     key = ["repository_id", "token"]
-    reverts = revert_needles(commits).withColumnRenamed("revert_hash", "hash")
-    originals = original_tokens(commits, mode).withColumnRenamed("original_hash", "hash")
-    by_reverts = reverts.groupBy(*key).agg(F.min("hash").alias("_lo"), F.max("hash").alias("_hi"))
-    hits = originals.join(by_reverts, key)
-    by_originals = hits.groupBy(*key).agg(F.min("hash").alias("_lo"), F.max("hash").alias("_hi"))
-    other = (F.col("_lo") != F.col("hash")) | (F.col("_hi") != F.col("hash"))
-    found = hits.where(other).unionByName(reverts.join(by_originals, key).where(other))
-    return found.select("repository_id", "hash").distinct()
+    sided = lambda tokens, revert: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(revert).alias("revert")))
+    needles = F.when(text.is_revert("subject"), text.pr_references("subject")).otherwise(F.array().cast("array<string>"))
+    both = F.concat(sided(F.col("_tokens"), False), sided(needles, True))
+    rows = _with_tokens(commits, mode).select("repository_id", "hash", F.explode(both).alias("t"))
+    rows = rows.select("repository_id", "hash", "t.token", "t.revert")
+    ends = [f(F.when(F.col("revert") == side, F.col("hash"))).alias(f"_{name}{int(side)}") for side in (False, True) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    tokens = rows.groupBy(*key).agg(*ends).where(F.col("_lo0").isNotNull() & F.col("_lo1").isNotNull())
+    other = lambda side: (F.col(f"_lo{side}") != F.col("hash")) | (F.col(f"_hi{side}") != F.col("hash"))
+    return rows.join(tokens, key).where(F.when(F.col("revert"), other(0)).otherwise(other(1))).select("repository_id", "hash").distinct()
 
 
 def apply_revert_weights(commits: DataFrame, mode: str = COMPATIBLE,
-                         repository_ids: DataFrame | None = None) -> DataFrame:
+                         repository_ids: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
     """O2: the commit table with weights of reverted work set to 0.
 
     ``repository_ids`` (one ``repository_id`` column) limits the run to some
-    repositories (P14); other repositories pass through unchanged.
+    repositories (P14); other repositories pass through unchanged.  ``subjects`` (repository_id, hash, subject) stands in
+    for ``commits`` where the subjects are at hand more cheaply.
     """
-    scope = commits
+    scope = commits if subjects is None else subjects
     if repository_ids is not None:
-        scope = commits.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
+        scope = scope.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_semi")
     zero = zeroed_keys(scope, mode).withColumn("_zeroed", F.lit(True))
     cols = commits.columns
     out = commits.join(zero, ["repository_id", "hash"], "left")
@@ -113,11 +123,10 @@ def weighting_plan(commits: DataFrame, mode: str = COMPATIBLE) -> DataFrame:
     (the smallest revert hash when several revert it).
     """
     matches = revert_matches(commits, mode)
-    as_revert = (matches.select("repository_id", F.col("revert_hash").alias("hash"))
-                 .distinct().withColumn("_is_revert", F.lit(True)))
-    as_original = (matches.groupBy("repository_id", F.col("original_hash").alias("hash"))
-                   .agg(F.min("revert_hash").alias("_by")))
-    keys = (as_revert.join(as_original, ["repository_id", "hash"], "full"))
+    roles = F.array(F.struct(F.col("revert_hash").alias("hash"), F.lit(None).cast("string").alias("by")),
+                    F.struct(F.col("original_hash").alias("hash"), F.col("revert_hash").alias("by")))
+    keys = (matches.select("repository_id", F.explode(roles).alias("r")).groupBy("repository_id", F.col("r.hash").alias("hash"))
+            .agg(F.bool_or(F.col("r.by").isNull()).alias("_is_revert"), F.min("r.by").alias("_by")))
     return (commits.join(keys, ["repository_id", "hash"], "inner")
             .where(F.col("weight") != 0)
             .select("repository_id", "hash",
@@ -138,7 +147,6 @@ class WeightingReport:
 
 def weighting_report(commits: DataFrame, mode: str = COMPATIBLE) -> WeightingReport:
     needles = revert_needles(commits)
-    matches = revert_matches(commits, mode)
     changed = weighting_plan(commits, mode)
     # One global aggregate over the commits and the planned changes together.
     flags = commits.select(F.lit(1).alias("_p"), text.is_revert("subject").cast("int").alias("_r"),
@@ -149,6 +157,7 @@ def weighting_report(commits: DataFrame, mode: str = COMPATIBLE) -> WeightingRep
                         F.sum("_z").cast("long").alias("commits_zeroed"))
     no_number = (commits.where(text.is_revert("subject") & (F.size(text.pr_references("subject")) == 0))
                  .select("repository_id", "hash", "subject"))
-    found = matches.select("repository_id", "revert_hash", "token").distinct()
-    no_original = needles.join(found, ["repository_id", "revert_hash", "token"], "left_anti")
+    found = F.count_if(F.col("original_hash") != F.col("revert_hash"))  # null, too, where there is none
+    no_original = (needles.join(original_tokens(commits, mode), ["repository_id", "token"], "left")
+                   .groupBy("repository_id", "revert_hash", "token").agg(found.alias("_n")).where(F.col("_n") == 0).drop("_n"))
     return WeightingReport(summary, no_number, no_original)

@@ -2,7 +2,7 @@
 
 Names follow ``<survey id>_<short name>``.  Every builder takes
 ``(spark, sf_dir)``, reads the driver tables under ``sf_dir`` and returns a
-DataFrame.  Builders are lazy but for W1 and S6, whose ranks write a checkpoint.
+DataFrame.  Builders are lazy but for those of ``load_scenarios``, which write and read files.
 """
 
 from __future__ import annotations
@@ -142,6 +142,7 @@ for _name, _fn in [
 
 
 # ------------------------------------------------------------ operators ---
+from . import load_scenarios as LS  # noqa: E402
 from . import oracle_ops as OO  # noqa: E402
 from . import scenarios as SC  # noqa: E402
 from ..operators import weights as _W  # noqa: E402
@@ -169,7 +170,15 @@ for _name, _fn in [
     ("o3_weighting_plan", SC.weighting_plan),
     ("o4_weighting_summary", SC.weighting_summary),
     ("o4_weighting_warnings", SC.weighting_warnings),
+    ("o4_reverts_without_number", SC.reverts_without_number),
     ("w4_last_write_wins", SC.export_latest),
+    ("w4_new_key_twice", SC.new_key_twice),
+    ("s1_export_rows", LS.export_document_rows),
+    ("s2_git_log", LS.git_log_rows),
+    ("s5_ingest", LS.ingested_table),
+    ("s6_duplicate_documents", LS.duplicate_documents),
+    ("s9_snapshot", LS.snapshot_rows),
+    ("o5_pipeline", LS.pipeline_statistics),
     ("s4_upsert_commits", SC.upserted),
     ("s12_load_statistics", SC.load_stats),
     ("s13_constraint_audit", SC.audit),

@@ -127,7 +127,97 @@ PROMPT = (f"{_lit(_EN.PROMPT_INTRO)} || {NL} || {NL} || 'COMMIT DETAILS:' || {NL
           f" || array_to_string(v.categories, ', ') ELSE {_lit(_EN.CATEGORIES_MISSING)} END"
           f" || {NL} || {NL} || {_lit(_EN.PROMPT_INSTRUCTIONS)}")
 
+# The two loads of ``plans.load_scenarios``: old documents, then new lines.
+LOADS = f"""
+old_repos AS (SELECT id, name, url, ROW_NUMBER() OVER (ORDER BY name) AS rid FROM repositories
+              WHERE id IN (SELECT repository_id FROM target)),
+new_repos AS (SELECT id, name, url, (SELECT COUNT(*) FROM old_repos) + ROW_NUMBER() OVER (ORDER BY name) AS rid FROM repositories
+              WHERE id IN (SELECT repository_id FROM latest) AND id NOT IN (SELECT id FROM old_repos)),
+repo_ids AS (SELECT * FROM old_repos UNION ALL SELECT * FROM new_repos),
+numbered AS (
+  SELECT m.*, r.name AS repository, r.rid,
+         CASE WHEN load_action <> 'inserted' THEN ROW_NUMBER() OVER (PARTITION BY load_action = 'inserted' ORDER BY r.rid, hash)
+              ELSE (SELECT COUNT(*) FROM target) + ROW_NUMBER() OVER (PARTITION BY load_action = 'inserted' ORDER BY r.rid, hash) END AS new_id
+  FROM merged m JOIN repo_ids r ON r.id = m.repository_id),
+load_needles AS (
+  SELECT DISTINCT repository_id, hash AS revert_hash, UNNEST(regexp_extract_all(subject, '\\(([!#][0-9]+)\\)', 1)) AS token
+  FROM merged WHERE {is_revert('subject')}),
+load_pairs AS (
+  SELECT n.repository_id, n.revert_hash, o.hash AS original_hash FROM load_needles n JOIN merged o
+    ON o.repository_id = n.repository_id AND o.hash <> n.revert_hash AND contains(o.subject, n.token)),
+load_zeroed AS (SELECT repository_id, revert_hash AS hash FROM load_pairs UNION SELECT repository_id, original_hash FROM load_pairs),
+table_rows AS (
+  SELECT CAST(n.new_id AS BIGINT) AS id, n.repository, n.hash, n.commit_date, n.author_name, n.author_email, n.subject,
+         n.lines_added, n.lines_deleted, n.files_changed,
+         CASE WHEN load_action = 'inserted' THEN TIMESTAMP '{SC.EXTRACTED_AT}' ELSE TIMESTAMP '2000-01-03 00:00:00' END AS created_at,
+         n.category, CASE WHEN z.hash IS NOT NULL THEN 0 ELSE n.weight END AS weight, n.ai_tools, n.ai_confidence, n.description,
+         n.business_impact
+  FROM numbered n LEFT JOIN load_zeroed z ON z.repository_id = n.repository_id AND z.hash = n.hash)"""
+
 SQL = {
+    "s1_export_rows": with_loaded(
+        """SELECT r.name AS repository, r.url AS repository_path, r.description AS repository_description,
+  '2000-01-02T00:00:00+00:00' AS extraction_date, TIMESTAMP '2000-01-02 00:00:00' AS extracted_at, c.hash, c.commit_date,
+  c.author_name, c.author_email, c.subject, c.weight, c.ai_tools, c.category, CAST(c.ai_confidence AS INTEGER) AS ai_confidence,
+  c.business_impact, c.description, c.lines_added, c.lines_deleted, c.files_changed, COALESCE(f.files, '') AS files
+FROM loaded c JOIN repositories r ON r.id = c.repository_id
+LEFT JOIN (SELECT l_orderkey, string_agg('parts/' || CAST(l_partkey AS VARCHAR) || '.txt:' || CASE WHEN l_returnflag = 'R'
+             THEN '0:' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ':0' END, ','
+             ORDER BY l_linenumber, 'parts/' || CAST(l_partkey AS VARCHAR) || '.txt', CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END,
+             l_quantity) AS files FROM lineitem GROUP BY 1) f ON f.l_orderkey = c.id"""),
+    "s2_git_log": with_loaded(
+        f"""SELECT FALSE AS rejected, m.hash || substr(m.hash, 1, 8) AS hash, m.commit_date - INTERVAL 1 HOUR AS commit_date, m.author_name,
+  m.author_email, m.subject,
+  COALESCE(m.body, '') || CASE WHEN m.id % 11 = 0 THEN chr(10) || 'COMMIT|' || CAST(m.id AS VARCHAR) || '|is planned' || chr(10)
+    || 'COMMIT|' || chr(10) || 'end' ELSE '' END AS body,
+  CAST(m.lines_added + CASE WHEN m.id % 17 = 0 THEN 9999999999 ELSE 0 END AS BIGINT) AS lines_added,
+  CAST(m.lines_deleted + CASE WHEN m.id % 17 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lines_deleted,
+  CAST(CASE WHEN m.id % 17 = 0 THEN 2 ELSE 1 END AS INTEGER) AS files_changed, l.category, l.ai_tools
+FROM messages m JOIN loaded l ON l.id = m.id
+UNION ALL
+SELECT TRUE, NULL, NULL, NULL, NULL, 'stray ' || CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL
+FROM messages WHERE id % 100 = 0"""),
+    "s5_ingest": with_loaded("SELECT * FROM table_rows", VERSIONS + "," + LOADS),
+    "o5_pipeline": with_loaded(
+        """SELECT 1 AS load, (SELECT COUNT(*) FROM old_repos) AS repos_created, CAST(0 AS BIGINT) AS repos_updated,
+  (SELECT COUNT(*) FROM target) AS commits_inserted, CAST(0 AS BIGINT) AS commits_updated, CAST(0 AS BIGINT) AS errors,
+  (SELECT COUNT(*) FROM target) AS total_commits, CAST(0 AS INTEGER) AS failed_files
+UNION ALL
+SELECT 2, (SELECT COUNT(*) FROM new_repos), (SELECT COUNT(*) FROM old_repos WHERE id IN (SELECT repository_id FROM latest)),
+  COUNT(*) FILTER (WHERE load_action = 'inserted'), COUNT(*) FILTER (WHERE load_action = 'updated'), 0,
+  COUNT(*) FILTER (WHERE repository_id IN (SELECT repository_id FROM latest)), 0
+FROM merged""", VERSIONS + "," + LOADS),
+    "s9_snapshot": with_loaded(
+        """SELECT repository AS repository_name, CAST(date_trunc('month', commit_date) AS DATE) AS month_start_date,
+  COUNT(*) AS total_commits, COUNT(DISTINCT author_email) AS unique_authors,
+  CAST(SUM(lines_added + lines_deleted) AS BIGINT) AS total_lines_changed,
+  CAST(SUM((lines_added + lines_deleted) * weight) AS DOUBLE) / 100 AS weighted_lines_changed,
+  CAST(SUM(weight) AS DOUBLE) / 100 AS effective_commits
+FROM table_rows WHERE weight > 0 GROUP BY 1, 2""", VERSIONS + "," + LOADS),
+    "s6_duplicate_documents": with_loaded(
+        f"""SELECT CAST(CASE WHEN t.id IS NOT NULL THEN t.id
+              ELSE (SELECT MAX(id) FROM repositories) + ROW_NUMBER() OVER (PARTITION BY t.id IS NULL ORDER BY s.name) END AS INTEGER) AS id,
+  COALESCE(t.name, s.name) AS name, CASE WHEN s.name IS NOT NULL THEN s.url ELSE t.url END AS url,
+  CASE WHEN s.name IS NOT NULL THEN s.description ELSE t.description END AS description, s.seen AS last_extracted_at,
+  CASE WHEN t.name IS NOT NULL THEN CAST(NULL AS TIMESTAMP) ELSE TIMESTAMP '{SC.EXTRACTED_AT}' END AS created_at,
+  CASE WHEN t.name IS NOT NULL AND s.name IS NOT NULL THEN TIMESTAMP '{SC.EXTRACTED_AT}' END AS updated_at,
+  CASE WHEN t.name IS NOT NULL AND s.name IS NOT NULL THEN 'updated' WHEN s.name IS NOT NULL THEN 'created' ELSE 'kept' END AS load_action
+FROM repositories t FULL OUTER JOIN (
+  SELECT name, url, description, seen FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY seen DESC, url DESC, description DESC) AS rn FROM (
+      SELECT CASE WHEN o.o_orderkey % 2 = 0 THEN n.n_name ELSE 'segment-' || lower(c.c_mktsegment) END AS name,
+             '/srv/' || lpad(CAST(o.o_orderkey AS VARCHAR), 12, '0') AS url, 'by ' || CAST(o.o_custkey AS VARCHAR) AS description,
+             CAST(o.o_orderdate AS TIMESTAMP) AS seen
+      FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey))
+  WHERE rn = 1) s ON s.name = t.name"""),
+    "w4_new_key_twice": with_loaded(
+        """SELECT repository_id, hash, commit_date, author_name, author_email, lines_added, lines_deleted, files_changed,
+  subject || ' v2' AS subject, 70 AS weight, CAST(NULL AS VARCHAR) AS category, CAST(77 AS SMALLINT) AS ai_confidence,
+  70 AS business_impact, 're-extracted' AS description, CAST(NULL AS VARCHAR) AS ai_tools FROM loaded"""),
+    "o4_reverts_without_number": with_loaded(
+        f"""SELECT repository_id, hash, subject FROM (
+  SELECT repository_id, hash, CASE WHEN id % 13 = 0 THEN 'revert ' || COALESCE(category, 'work') ELSE subject END AS subject FROM loaded)
+WHERE {is_revert('subject')} AND NOT regexp_matches(subject, '\\([!#][0-9]+\\)')"""),
     "q25_event_activity_by_weekday_hour": """SELECT CAST(isodow(ts) AS INTEGER) AS iso_weekday,
   CAST(hour(ts) AS INTEGER) AS hour_of_day, COUNT(*) AS total_commits FROM events GROUP BY 1, 2""",
     "s3_export_rows": with_loaded(

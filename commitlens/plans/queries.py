@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.numeric import ratio
 from ..operators import views as V
-from ..operators.ranking import global_row_number
+from ..operators.ranking import descending_level, row_number_by_levels, text_level
 
 AVG_SCALE = 4
 
@@ -511,7 +511,8 @@ def contributor_ranking(commits: DataFrame, podium: int | None = None) -> DataFr
     if podium is not None:
         top = v4.orderBy(*order).limit(podium)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return global_row_number(v4, order, "rank")
+    total = F.col("total_commits")
+    return row_number_by_levels(v4, [descending_level(total), -total, text_level(F.col("author_email"))], order, "rank")
 
 
 def month_over_month(commits: DataFrame, repositories: DataFrame) -> DataFrame:

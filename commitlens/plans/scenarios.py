@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapter
+from .. import schema as S
 from ..functions import text
 from ..operators import enrich as E
 from ..operators import table as TB
 from ..operators import views as V
 from ..operators import weights as W
 from .tables import commits as weighted_commits
-from .tables import loaded_commits, repositories
+from .tables import loaded_commits, repositories, subjects
 
 # Fixed scenario parameters.
 TABLE_UNTIL = "2000-01-01"      # the stored table holds commits before this date
@@ -88,7 +89,7 @@ def git_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T10 over every document text taken as a diff."""
     d = adapter.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept, truncated = text.truncate_diff("text")
+    kept, truncated = text.truncate_diff("text", S.DIFF_MAX_BYTES)
     return d.select("doc_id", F.octet_length(F.encode("text", "UTF-8")).alias("diff_bytes"),
                     F.octet_length(kept).alias("kept_bytes"), truncated.alias("truncated"),
                     F.md5(kept).alias("kept_md5"))
@@ -96,35 +97,42 @@ def diff_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- weighting -
 def revert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.revert_matches(loaded_commits(spark, sf_dir))
+    return W.revert_matches(subjects(spark, sf_dir))
 
 
 def zeroed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.zeroed_keys(loaded_commits(spark, sf_dir))
+    return W.zeroed_keys(subjects(spark, sf_dir))
 
 
 def weights_after(spark: SparkSession, sf_dir: str, mode: str = W.COMPATIBLE) -> DataFrame:
-    c = W.apply_revert_weights(loaded_commits(spark, sf_dir), mode)
+    c = weighted_commits(spark, sf_dir, mode)
     return c.select("repository_id", "hash", "weight")
 
 
 def weights_one_repository(spark: SparkSession, sf_dir: str, name: str = CLEANED_REPOSITORY) -> DataFrame:
     """Weighting limited to one repository; the others keep their weights."""
     r = repositories(spark, sf_dir).where(F.col("name") == name).select(F.col("id").alias("repository_id"))
-    c = W.apply_revert_weights(loaded_commits(spark, sf_dir), repository_ids=r)
+    c = W.apply_revert_weights(loaded_commits(spark, sf_dir), repository_ids=r, subjects=subjects(spark, sf_dir))
     return c.select("repository_id", "hash", "weight")
 
 
 def weighting_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.weighting_plan(loaded_commits(spark, sf_dir))
+    return W.weighting_plan(adapter.commit_messages(spark, sf_dir))
 
 
 def weighting_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.weighting_report(loaded_commits(spark, sf_dir)).summary
+    return W.weighting_report(adapter.commit_messages(spark, sf_dir)).summary
+
+
+def reverts_without_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4's other warning.  Every 13th commit here is a revert that names no number."""
+    c = loaded_commits(spark, sf_dir)
+    bare = F.when(F.col("id") % 13 == 0, F.concat(F.lit("revert "), F.coalesce("category", F.lit("work")))).otherwise(F.col("subject"))
+    return W.weighting_report(c.withColumn("subject", bare)).reverts_without_number
 
 
 def weighting_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.weighting_report(loaded_commits(spark, sf_dir)).numbers_without_original
+    return W.weighting_report(adapter.commit_messages(spark, sf_dir)).numbers_without_original
 
 
 # ----------------------------------------------------------- loading -------
@@ -155,23 +163,60 @@ def export_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last write wins per key within the export."""
+    """The last whole row per key within the export."""
     return TB.latest_per_key(export_versions(spark, sf_dir), TB.COMMIT_KEY)
 
 
+def new_key_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in two files that holds every key twice, both files' rows in either order of position; the
+    second one differs in every column.  The kept columns come from the first file, the updated ones from the second."""
+    c = loaded_commits(spark, sf_dir)
+    other = {"commit_date": F.col("commit_date") + F.expr("interval 1 day"), "author_name": F.concat(F.lit("Co-"), "author_name"),
+             "author_email": F.concat(F.lit("co-"), "author_email"), "subject": F.concat("subject", F.lit(" v2")),
+             "lines_added": F.col("lines_added") + 1, "lines_deleted": F.col("lines_deleted") + 2, "files_changed": F.col("files_changed") + 3,
+             "weight": F.lit(70), "category": F.lit(None).cast("string"), "ai_tools": F.lit(None).cast("string"),
+             "ai_confidence": F.lit(77).cast("smallint"), "description": F.lit("re-extracted"), "business_impact": F.lit(70)}
+    row = lambda file, pos, own: F.struct(*[own.get(n, F.col(n)).alias(n) for n in [*TB.COMMIT_KEY, *S.UPSERT_KEPT, *S.UPSERT_UPDATED]],
+                                          F.lit(file).alias("_file"), pos.alias("_pos"))
+    both = F.array(row("f2", F.col("id") % 2, other), row("f1", 1 - F.col("id") % 2, {}))
+    rows = c.select(F.explode(both).alias("v")).select("v.*")
+    return TB.fold_versions(rows, TB.COMMIT_KEY, ["_file", "_pos"])
+
+
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded_commits(spark, sf_dir).where(F.col("commit_date") < F.lit(TABLE_UNTIL).cast("timestamp"))
 
 
+def load_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rows and the export's, from one pass over the commits (as ``TB.versions`` of two tables gives)."""
+    c = loaded_commits(spark, sf_dir)
+    until, since = (F.lit(d).cast("timestamp") for d in (TABLE_UNTIL, EXPORT_FROM))
+    stored, exported = F.col("commit_date") < until, F.col("commit_date") >= since
+    again = {"subject": F.concat("subject", F.lit(" v2")), "lines_added": F.lit(999999), "category": F.lit(None).cast("string"),
+             "weight": F.lit(70), "ai_tools": F.lit(None).cast("string"), "ai_confidence": F.lit(77).cast("smallint"),
+             "description": F.lit("re-extracted"), "business_impact": F.lit(70)}
+    unset = {"id": F.lit(None).cast("long"), "created_at": F.lit(None).cast("timestamp")}
+    row = lambda side, pos, own: F.struct(*[own.get(n, F.col(n)).alias(n) for n in S.COMMIT_COLUMNS],
+                                          F.lit(side).alias(TB.SIDE), F.lit(pos).alias("_pos"))
+    old, stale, fresh, new = row(0, None, {}), row(1, 0, unset), row(1, 1, unset | again), row(1, 1, unset)
+    rows = (F.when(stored & exported, F.array(old, fresh, stale)).when(stored, F.array(old)).otherwise(F.array(new)))
+    return c.where(stored | exported).select(F.explode(rows).alias("v")).select("v.*")
+
+
+def merged_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = adapter.commit_messages(spark, sf_dir)
+    stored = F.col("commit_date") < F.lit(TABLE_UNTIL).cast("timestamp")
+    keys = c.select("repository_id", "hash", F.when(stored, F.col("id")).alias("id"))  # the text rules stay out
+    return TB.merge_versions(load_versions(spark, sf_dir), ["_pos"], keys)
+
+
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after folding in the export (ids for new rows assigned)."""
-    merged = TB.upsert_commits(stored_table(spark, sf_dir), export_latest(spark, sf_dir))
-    return merged.withColumnRenamed(TB.ACTION, "load_action")
+    return merged_load(spark, sf_dir).withColumnRenamed(TB.ACTION, "load_action")
 
 
 def load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = TB.upsert_commits(stored_table(spark, sf_dir), export_latest(spark, sf_dir))
-    return TB.load_statistics(merged)
+    return TB.load_statistics(merged_load(spark, sf_dir))
 
 
 def repositories_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +262,7 @@ def orphan_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S13 over the table produced by the incremental load."""
-    merged = TB.upsert_commits(stored_table(spark, sf_dir), export_latest(spark, sf_dir)).drop(TB.ACTION)
+    merged = merged_load(spark, sf_dir).drop(TB.ACTION)
     return TB.constraint_audit(merged, repositories(spark, sf_dir))
 
 

@@ -20,5 +20,10 @@ def loaded_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.loaded_commits(spark, sf_dir)
 
 
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What weighting reads of the commits, without the text rules of the enrichment."""
+    return adapter.commit_messages(spark, sf_dir).select("repository_id", "hash", "subject")
+
+
 def commits(spark: SparkSession, sf_dir: str, mode: str = weights.COMPATIBLE) -> DataFrame:
-    return weights.apply_revert_weights(loaded_commits(spark, sf_dir), mode)
+    return weights.apply_revert_weights(loaded_commits(spark, sf_dir), mode, subjects=subjects(spark, sf_dir))

@@ -13,12 +13,15 @@ Rules kept from the original parser: the header is cut at the first
 the first body line is split on ``|`` and its pieces become lines; a line
 containing ``BODYEND|`` is dropped; binary ``-``/``-`` numstat lines add
 nothing; a date that cannot be parsed stays as text (``commit_date`` NULL).
-Records whose hash is not 40 hex digits are flagged in ``_corrupt``.
+
+A body line that itself begins with ``COMMIT|`` cuts its record.  ``stitched`` puts such records together
+again: a piece whose hash is not 40 hex digits continues the record before it, also across splits, as long as
+that record's body is open (no ``BODYEND|`` yet).  Other pieces of that kind are no commits; ``git_log`` gives them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -33,6 +36,48 @@ def _to_int(s: Column) -> Column:
     return F.coalesce(F.regexp_extract(s, r"^[\t\n\x0B\f\r ]*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def read_records(spark: SparkSession, paths) -> DataFrame:
+    """Pieces of the dumps between ``COMMIT|`` marks, with their place: file, split, position (ascending, without
+    gaps in a split) and whether the piece begins a record."""
+    raw = spark.read.option("lineSep", RECORD_SEPARATOR).text(paths)
+    placed = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_pos"))
+    return placed.withColumn("_head", F.col("value").rlike(r"^(?:COMMIT\|)?[0-9a-f]{40}\|"))
+
+
+def _ended(value: Column) -> Column:
+    return F.contains(value, F.lit(BODY_END))
+
+
+def stitched(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records with their continuations put back, pieces that belong to none).
+
+    Pieces that begin no record are rare, so only they and per-split counts are shuffled: a run of such pieces
+    continues the piece before the run, or, at the beginning of a split, the last record of an earlier split of the
+    file (a running value over the file's splits).  The few records that are continued are found by a join with these.
+    """
+    loose = records.where(~F.col("_head"))
+    place = Window.partitionBy("_file", "_block").orderBy("_pos")
+    runs = loose.withColumn("_run", F.col("_pos") - F.row_number().over(place))
+    runs = runs.withColumn("_at", F.min("_pos").over(Window.partitionBy("_file", "_block", "_run")) - 1)
+    splits = records.groupBy("_file", "_block").agg(F.min("_pos").alias("_first"), F.max(F.when(F.col("_head"), F.struct("_block", "_pos"))).alias("_last"))
+    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_file", "_block", "_first", earlier.alias("_earlier"))
+    owner = F.when(F.col("_at") >= F.col("_first"), F.struct(F.col("_block"), F.col("_at").alias("_pos"))).otherwise(F.col("_earlier"))
+    owned = runs.join(splits, ["_file", "_block"]).select("_file", "_block", "_pos", "value", owner.alias("_owner"))
+    heads = records.where("_head").select(F.col("_file").alias("_of"), F.col("_block").alias("_oblock"), F.col("_pos").alias("_opos"), _ended("value").alias("_closed"))
+    at = (F.col("_file") == F.col("_of")) & (F.col("_owner._block") == F.col("_oblock")) & (F.col("_owner._pos") == F.col("_opos"))
+    pieces = owned.join(heads, at, "left")
+    before = Window.partitionBy("_file", "_owner").orderBy("_block", "_pos").rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.col("_closed"), F.lit(True)) | F.coalesce(F.max(_ended("value")).over(before), F.lit(False))
+    pieces = pieces.withColumn("_stray", closed)
+    more = pieces.where(~F.col("_stray")).groupBy("_of", "_oblock", "_opos").agg(F.array_sort(F.collect_list(F.struct("_block", "_pos", "value"))).alias("_more"))
+    own = (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_oblock")) & (F.col("_pos") == F.col("_opos"))
+    text_ = F.concat("value", F.array_join(F.transform(F.coalesce("_more", F.array().cast(more.schema["_more"].dataType)), lambda m: F.concat(F.lit(RECORD_SEPARATOR), m["value"])), ""))
+    whole = records.where("_head").join(more, own, "left").select("_file", text_.alias("value"))
+    return whole, pieces.where("_stray").where(F.trim("value") != "").select("_file", "value")
+
+
 def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
     """Parse one commit record per row (text after the ``COMMIT|`` marker)."""
     rec = F.regexp_replace(F.col(value), r"^COMMIT\|", "")
@@ -42,17 +87,18 @@ def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
     header = F.when(mark > 0, F.expr("substring(_first, 1, instr(_first, '|BODY|') - 1)")).otherwise(first_line)
     body_portion = F.when(mark > 0, F.expr("substring(_first, instr(_first, '|BODY|') + 6)")).otherwise(F.lit(""))
 
-    df = records.select(F.input_file_name().alias("_file"), rec.alias("_rec")) \
+    file = F.col("_file") if "_file" in records.columns else F.input_file_name()
+    df = records.select(file.alias("_file"), rec.alias("_rec")) \
         .select("*", F.substring_index("_rec", "\n", 1).alias("_first"))
     df = df.select("_file", "_rec", "_first", header.alias("_header"), body_portion.alias("_bp"),
-                   rest.alias("_rest"))
+                   rest.alias("_rest"), (mark > 0).alias("_marked"))
 
     parts = F.split("_header", r"\|", 5)
     pieces = F.split("_bp", r"\|", -1)
     end_in_first = F.array_position(pieces, "BODYEND")
-    first_body = F.when(F.col("_bp") == "", F.array().cast("array<string>")).when(
+    first_body = F.when(~F.col("_marked"), F.array().cast("array<string>")).when(
         end_in_first > 0, F.slice(pieces, 1, end_in_first - 1)).otherwise(pieces)
-    in_body = (F.col("_bp") != "") & (end_in_first == 0)
+    in_body = F.col("_marked") & (end_in_first == 0)  # a body may begin on the next line
 
     lines = F.split(F.regexp_replace("_rest", "\n$", ""), "\n", -1)
     ends = F.transform(lines, lambda l: F.instr(l, BODY_END) > 0)
@@ -81,10 +127,15 @@ def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
         (~F.coalesce(F.col("hash").rlike("^[0-9a-f]{40}$"), F.lit(False))).alias("_corrupt"))
 
 
-def read_git_log(spark: SparkSession, paths, repository: str | None = None) -> DataFrame:
-    """Commits of one or more log dumps, enriched with category (T1) and tools (T5)."""
-    records = spark.read.option("lineSep", RECORD_SEPARATOR).text(paths)
-    records = records.where(F.trim(F.col("value")) != "")
+def git_log(spark: SparkSession, paths, repository: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commits, rejected) of one or more log dumps; commits are enriched with category (T1) and tools (T5),
+    rejected pieces (``_file``, ``value``) are no commits."""
+    records, rejected = stitched(read_records(spark, paths))
     parsed = parse_records(records).select(F.lit(repository).cast("string").alias("repository"), "*")
     enriched = text.add_ai_tools(text.add_category(parsed, "subject", "category"), "body", "ai_tools")
-    return enriched.withColumn("weight", F.lit(100))
+    return enriched.withColumn("weight", F.lit(100)), rejected
+
+
+def read_git_log(spark: SparkSession, paths, repository: str | None = None) -> DataFrame:
+    """The commits of ``git_log``."""
+    return git_log(spark, paths, repository)[0]

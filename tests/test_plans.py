@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from commitlens.operators.ranking import global_row_number, keyed_row_number
+from commitlens.operators.ranking import descending_level, new_commit_ids, row_number_by_levels
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
 
@@ -47,17 +47,44 @@ def _skewed(spark, n=30000):
         F.md5(F.col("id").cast("string")).alias("k"))
 
 
-def test_keyed_row_number_matches_row_number(spark):
+def test_numbers_by_levels_match_row_number(spark):
     df = _skewed(spark)
-    a = keyed_row_number(df, "g", "k", "rn")
+    levels = [F.shiftright("g", 3), F.col("g"), F.substring("k", 1, 2)]
+    a = row_number_by_levels(df, levels, [F.col("g"), F.col("k")], "rn")
     b = df.withColumn("rn2", F.row_number().over(Window.orderBy("g", "k")))
     j = a.join(b, ["g", "k"])
     assert j.count() == 30000 and j.where("rn <> rn2").count() == 0
 
 
-def test_global_row_number_matches_row_number(spark):
-    df = _skewed(spark, 5000)
-    order = [F.col("g").desc(), F.col("k")]
-    a = global_row_number(df, order, "rn")
-    b = df.withColumn("rn2", F.row_number().over(Window.orderBy(*order)))
-    assert a.join(b, ["g", "k"]).where("rn <> rn2").count() == 0
+def test_descending_level_ascends_with_the_order(spark):
+    values = [0, 1, 2, 126, 127, 128, 129, 255, 256, 1000, 10**6, 10**9, 10**15, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", descending_level(F.col("v")).alias("l"))
+    got = [r.l for r in df.orderBy("v").collect()]
+    assert got == sorted(got, reverse=True)
+    ranked = row_number_by_levels(df, [F.col("l"), -F.col("v")], [F.col("v").desc()], "rn").collect()
+    assert [r.v for r in sorted(ranked, key=lambda r: r.rn)] == sorted(values, reverse=True)
+
+
+def test_new_ids_follow_the_key_order_behind_the_greatest_id(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") * 7919 % 5000).cast("int").alias("repository_id"), F.md5(F.col("id").cast("string")).alias("hash"),
+        F.when(F.col("id") % 4 == 0, F.col("id") + 10).alias("id"))
+    ids = {(r.repository_id, r.hash): r.id for r in new_commit_ids(rows).collect()}
+    keys = sorted((r.repository_id, r.hash) for r in rows.where("id is null").collect())
+    assert [ids[k] for k in keys] == list(range(4007, 4007 + len(keys)))
+
+
+def test_upsert_plans_one_pass(spark, sf_small):
+    for name in ("s4_upsert_commits", "s13_constraint_audit"):
+        plan = E.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 7, (name, plan.count("FileScan"))
+
+
+def test_ranks_are_built_without_a_job(spark, sf_small):
+    sc = spark.sparkContext
+    for name in ("w1_contributor_ranking", "s6_load_repositories", "s4_upsert_commits"):
+        E.queries()[name](spark, sf_small)  # file footers are read once
+        sc.setJobGroup(f"build-{name}", name)
+        E.queries()[name](spark, sf_small)
+        assert not sc.statusTracker().getJobIdsForGroup(f"build-{name}"), name
+    sc.setLocalProperty("spark.jobGroup.id", None)

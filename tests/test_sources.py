@@ -95,3 +95,75 @@ def test_write_and_read_export_lines(spark, sf_small, tmp_path):
     assert back.where("commit_date IS NULL").count() == 0
     summary = spark.read.json(str(tmp_path / "out" / "_summary"))
     assert summary.agg({"total_commits": "sum"}).first()[0] == rows.count()
+
+
+def log_record(n, subject, body=("",), stats=(), closed=True):
+    head = f"COMMIT|{n:040x}|2025-02-0{n % 9 + 1} 08:00:00 +0000|Mia Kern|mia@kern.example|{subject}|BODY|"
+    return head + "\n".join(body) + ("|BODYEND|\n" if closed and body == ("",) else "\nBODYEND|\n" if closed else "\n") + "".join(f"{s}\n" for s in stats) + "\n"
+
+
+def test_git_log_puts_cut_records_together(spark, tmp_path):
+    cut = ("first line", "COMMIT|not a commit", "COMMIT|twice over", "**AI tool: Cursor**")
+    dump = [log_record(1, "API | one", stats=["1\t2\ta.txt"]), log_record(2, "API | two", cut, ["9999999999\t3\tb.txt", "-\t-\tc.png"]),
+            log_record(3, "API | three", ("plain", "COMMIT|" + "f" * 39 + "|x"), ["4\t0\td.txt"]), "COMMIT|stray|after a closed body\n\n", log_record(4, "API | four")]
+    (tmp_path / "a.log").write_text("".join(dump))
+    (tmp_path / "b.log").write_text("COMMIT|leading stray\n\n" + log_record(5, "API | five", stats=["7\t7\te.txt"]))
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    expected = {1: ("", 1, 2, 1), 2: ("\n".join(cut), 9999999999, 3, 1), 3: ("plain\nCOMMIT|" + "f" * 39 + "|x", 4, 0, 1), 4: ("", 0, 0, 0), 5: ("", 7, 7, 1)}
+    try:
+        for split in ("60", "150", "400", default):  # cuts fall into other splits than their records
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            commits, rejected = G.git_log(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
+            got = {int(r.hash, 16): (r.body, r.lines_added, r.lines_deleted, r.files_changed) for r in commits.collect()}
+            assert got == expected, split
+            assert sorted(r.value.split("\n")[0] for r in rejected.collect()) == ["COMMIT|leading stray", "stray|after a closed body"]
+            assert [r.ai_tools for r in commits.where("ai_tools is not null").collect()] == ["CURSOR"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_documents_of_any_size_and_layout(spark, tmp_path):
+    commits = [{"hash": f"{i:040x}", "date": "2025-03-01T08:00:00+00:00", "author_name": 'Mia "K" Kern', "author_email": "mia@kern.example",
+                "subject": f"API | {i}\n    }},\n    {{\n", "lines_added": i, "lines_deleted": 0, "files_changed": 1,
+                "files": [{"filename": "a", "added": i, "deleted": 0}, {"filename": "b", "added": 0, "deleted": 0}]} for i in range(300)]
+    head = {"repository": "big", "repository_path": "/srv/big", "extraction_date": "2025-03-02T00:00:00+00:00", "date_range": {"from": "2025-01-01", "to": None}}
+    (tmp_path / "pretty.json").write_text(json.dumps(head | {"commits": commits}, indent=2))
+    (tmp_path / "last.json").write_text(json.dumps({"commits": commits[:5], **head, "repository": "tail"}, indent=2) + "\n")
+    (tmp_path / "compact.json").write_text(json.dumps(head | {"repository": "flat", "commits": commits[:7]}))
+    (tmp_path / "empty.json").write_text(json.dumps(head | {"repository": "empty", "commits": []}, indent=2))
+    (tmp_path / "torn.json").write_text(json.dumps(head | {"repository": "torn", "commits": commits}, indent=2)[:9000])
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("4000", default):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            staged = X.read_export_documents(spark, str(tmp_path))
+            rows = X.export_commits(staged).orderBy("_file", "_block", "_pos").collect()
+            by = {n: [r.hash for r in rows if r.repository == n] for n in ("big", "tail", "flat")}
+            assert by == {n: [c["hash"] for c in commits[:k]] for n, k in (("big", 300), ("tail", 5), ("flat", 7))} and len(rows) == 312
+            assert {(r.repository_path, str(r.extracted_at), len(r.files), r.weight) for r in rows} == {("/srv/big", "2025-03-02 00:00:00", 2, 100)}
+            assert sorted(r.name for r in X.export_repositories(staged).collect()) == ["big", "empty", "flat", "tail"]
+            assert [(r._file.rsplit("/", 1)[-1], r.unparseable) for r in X.invalid_documents(staged).collect()] == [("torn.json", True)]
+            if split == "4000":
+                assert spark.read.option("lineSep", X.ELEMENT_BOUNDARY).text(str(tmp_path / "pretty.json")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_write_and_read_export_documents(spark, sf_small, tmp_path):
+    from commitlens.plans import tables
+    files = [("a.py", 3, 1), ('b "x".py', 0, 0)]
+    commits = tables.loaded_commits(spark, sf_small).selectExpr("*", "CASE WHEN id % 2 = 0 THEN array(named_struct('filename','a.py','added',3,'deleted',1),"
+                                                                "named_struct('filename','b \"x\".py','added',0,'deleted',0)) END AS files")
+    rows = X.export_rows(commits, tables.repositories(spark, sf_small), "2025-03-02T00:00:00+00:00")
+    X.write_export_documents(rows, str(tmp_path / "out"), ("2025-01-01", None))
+    found = sorted((tmp_path / "out").glob("folder=*/*.txt"))
+    docs = [json.loads(p.read_text()) for p in found]
+    assert {len(list((tmp_path / "out").glob(f"folder={d['repository']}/*.txt"))) for d in docs} == {1}
+    assert sum(len(d["commits"]) for d in docs) == rows.count() and docs[0]["date_range"] == {"from": "2025-01-01", "to": None}
+    for p, d in zip(found, docs):
+        assert p.read_text() == json.dumps(d, indent=2, ensure_ascii=False) + "\n"
+        assert d["summary"]["total_commits"] == len(d["commits"]) and d["summary"]["unique_authors"] == len({c["author_email"] for c in d["commits"]})
+    assert [tuple(f.values()) for d in docs for c in d["commits"] for f in c["files"]][:2] == files
+    back = X.export_commits(X.read_export_documents(spark, str(tmp_path / "out")))
+    same = ["repository", "hash", "date", "subject", "weight", "category", "ai_tools", "ai_confidence", "lines_added"]
+    assert back.select(same).exceptAll(rows.select(same)).count() == 0 and back.count() == rows.count()
