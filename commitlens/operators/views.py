@@ -47,21 +47,25 @@ def with_tools(commits: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ builder -----
 def _stats(rows: DataFrame, keys: list[tuple[str, Column]], metric_names: list[str],
            flavor: str, repositories: DataFrame | None = None,
-           relabel: dict[str, Column] | None = None) -> DataFrame:
+           relabel: dict[str, Column] | None = None, category_weights: DataFrame | None = None) -> DataFrame:
     """groupBy(keys).agg(raw) -> join repository names -> project keys + metrics.
 
     ``keys`` are (output name, expression) pairs in output order.  The
     repository name is not a grouping key: it is attached to the aggregate by
     ``repository_id`` (names are unique, so the groups are the same).
-    ``relabel`` replaces a key's output expression after grouping.
+    ``relabel`` replaces a key's output expression after grouping.  ``category_weights`` (J2: ``name, weight``, names
+    unique) adds ``category_weight`` (NULL when unlisted) right after the category, also by a join of the aggregate.
     """
     group_cols = [(F.col(name) if expr is None else expr).alias(name) for name, expr in keys
                   if name not in ("repository_name", "repository_url")]
     agg = rows.groupBy(*group_cols).agg(*M.raw_aggregates(metric_names))
     if repositories is not None:
         agg = agg.join(repo_names(repositories), "repository_id", "inner")
-    relabel = relabel or {}
-    out_keys = [relabel.get(name, F.col(name)).alias(name) for name, _ in keys]
+    relabel, names = relabel or {}, [name for name, _ in keys]
+    if category_weights is not None:
+        agg = agg.join(category_weights.select(F.col("name").alias("category"), F.col("weight").alias("category_weight")), "category", "left")
+        names.insert(names.index("category") + 1, "category_weight")
+    out_keys = [relabel.get(name, F.col(name)).alias(name) for name in names]
     return agg.select(*out_keys, *M.final_metrics(metric_names, flavor))
 
 
@@ -70,13 +74,12 @@ def _k(name: str, expr: Column | None = None) -> tuple[str, Column | None]:
     return name, expr
 
 
-def _with_category_weight(rows: DataFrame, category_weights: DataFrame | None) -> tuple[DataFrame, list]:
-    """Optional ``(name, weight)`` table joined left on category before grouping,
-    so ``category_weight`` (NULL when unlisted) is a key right after the category."""
-    if category_weights is None:
-        return rows, []
-    dims = category_weights.select(F.col("name").alias("category"), F.col("weight").alias("category_weight"))
-    return rows.join(dims, "category", "left"), [_k("category_weight")]
+def of_repository(commits: DataFrame, repositories: DataFrame, name: str) -> DataFrame:
+    """The commits of one repository: its id first, so that a table stored by repository is read in that
+    folder only (dynamic partition pruning)."""
+    ids = repositories.where(F.col("name") == name).select(F.col("id").alias("repository_id"))
+    return commits.join(ids, "repository_id", "left_semi")
+
 
 
 # ------------------------------------------------------------ list views --
@@ -172,23 +175,20 @@ def ai_tools_by_repo(commits: DataFrame, repositories: DataFrame) -> DataFrame:
 # -------------------------------------------------------- category views --
 def category_stats(commits: DataFrame, category_weights: DataFrame | None = None) -> DataFrame:
     """V7 ``v_category_stats`` (J2: optional ``category_weight`` after the category)."""
-    rows, extra = _with_category_weight(categorized(commits), category_weights)
-    return _stats(rows, [_k("category")] + extra, M.CATEGORY, M.TEAM)
+    return _stats(categorized(commits), [_k("category")], M.CATEGORY, M.TEAM, category_weights=category_weights)
 
 
 def category_by_repo(commits: DataFrame, repositories: DataFrame,
                      category_weights: DataFrame | None = None) -> DataFrame:
     """V8 ``v_category_by_repo``."""
-    rows, extra = _with_category_weight(categorized(commits), category_weights)
-    return _stats(rows, _REPO + [_k("category")] + extra, M.CATEGORY_BY_REPO, M.TEAM, repositories)
+    return _stats(categorized(commits), _REPO + [_k("category")], M.CATEGORY_BY_REPO, M.TEAM, repositories, category_weights=category_weights)
 
 
 def monthly_category_stats(commits: DataFrame, repositories: DataFrame,
                            category_weights: DataFrame | None = None) -> DataFrame:
     """V9 ``mv_monthly_category_stats``."""
-    rows, extra = _with_category_weight(categorized(commits), category_weights)
-    keys = _REPO + _month_keys(with_numbers=False) + [_k("category")] + extra
-    return _stats(rows, keys, M.CATEGORY_BY_REPO, M.TEAM, repositories)
+    keys = _REPO + _month_keys(with_numbers=False) + [_k("category")]
+    return _stats(categorized(commits), keys, M.CATEGORY_BY_REPO, M.TEAM, repositories, category_weights=category_weights)
 
 
 # ---------------------------------------------------------- author views --
@@ -215,34 +215,32 @@ def monthly_stats_by_author(commits: DataFrame, repositories: DataFrame) -> Data
     return _stats(active(commits), keys, M.AUTHOR_DAILY, M.AUTHOR, repositories)
 
 
-def _raw_category_rows(commits: DataFrame, category_weights: DataFrame | None):
+def _raw_category_rows(commits: DataFrame):
     """Group on the raw category; the label is applied after grouping, so a real
     ``UNCATEGORIZED`` category and NULL stay two rows with the same label."""
-    rows, extra = _with_category_weight(active(commits), category_weights)
-    label = {"category": F.coalesce(F.col("category"), F.lit(UNCATEGORIZED))}
-    return rows, extra, label
+    return active(commits), {"category": F.coalesce(F.col("category"), F.lit(UNCATEGORIZED))}
 
 
 def category_stats_by_author(commits: DataFrame, category_weights: DataFrame | None = None) -> DataFrame:
     """V13 ``v_category_stats_by_author``."""
-    rows, extra, label = _raw_category_rows(commits, category_weights)
-    return _stats(rows, _AUTHOR + [_k("category")] + extra, M.AUTHOR_CATEGORY, M.AUTHOR, relabel=label)
+    rows, label = _raw_category_rows(commits)
+    return _stats(rows, _AUTHOR + [_k("category")], M.AUTHOR_CATEGORY, M.AUTHOR, relabel=label, category_weights=category_weights)
 
 
 def category_by_author_and_repo(commits: DataFrame, repositories: DataFrame,
                                 category_weights: DataFrame | None = None) -> DataFrame:
     """V14 ``v_category_by_author_and_repo``."""
-    rows, extra, label = _raw_category_rows(commits, category_weights)
-    keys = _AUTHOR + _REPO + [_k("category")] + extra
-    return _stats(rows, keys, M.AUTHOR_CATEGORY_BY_REPO, M.AUTHOR, repositories, relabel=label)
+    rows, label = _raw_category_rows(commits)
+    keys = _AUTHOR + _REPO + [_k("category")]
+    return _stats(rows, keys, M.AUTHOR_CATEGORY_BY_REPO, M.AUTHOR, repositories, relabel=label, category_weights=category_weights)
 
 
 def monthly_category_stats_by_author(commits: DataFrame, repositories: DataFrame,
                                      category_weights: DataFrame | None = None) -> DataFrame:
     """V15 ``mv_monthly_category_stats_by_author``."""
-    rows, extra, label = _raw_category_rows(commits, category_weights)
-    keys = _AUTHOR + _REPO + _month_keys(with_numbers=False) + [_k("category")] + extra
-    return _stats(rows, keys, M.AUTHOR_CATEGORY_BY_REPO, M.AUTHOR, repositories, relabel=label)
+    rows, label = _raw_category_rows(commits)
+    keys = _AUTHOR + _REPO + _month_keys(with_numbers=False) + [_k("category")]
+    return _stats(rows, keys, M.AUTHOR_CATEGORY_BY_REPO, M.AUTHOR, repositories, relabel=label, category_weights=category_weights)
 
 
 # ----------------------------------------------------------- L1 ordering --

@@ -190,6 +190,8 @@ for _name, _fn in [
     ("q25_event_activity_by_weekday_hour", SC.event_activity),
     ("s3_export_rows", SC.export_rows),
     ("t11_prompt_text", SC.prompts),
+    ("t11_prompt_with_diff", SC.prompts_with_diff),
+    ("x1_enrichment", SC.model_enriched),
     ("t12_response_parsing", SC.parsed_responses),
     ("t13_enrichment_merge", SC.enriched),
 ]:

@@ -210,6 +210,27 @@ FROM repositories t FULL OUTER JOIN (
              CAST(o.o_orderdate AS TIMESTAMP) AS seen
       FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey))
   WHERE rn = 1) s ON s.name = t.name"""),
+    "t11_prompt_with_diff": """WITH d AS (SELECT doc_id, text, lang, source, encode(text) AS raw FROM documents),
+known AS (SELECT source, array_to_string(list_sort(list(DISTINCT upper(lang)) FILTER (WHERE lang IS NOT NULL)), ', ') AS names FROM d GROUP BY source),
+b AS (SELECT *, octet_length(raw) > 10240 AS truncated,
+  CASE WHEN substr(hex(raw[10241:10241]), 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 10240 WHEN substr(hex(raw[10240:10240]), 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 10239
+       WHEN substr(hex(raw[10239:10239]), 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 10238 ELSE 10237 END AS cut FROM d),
+p AS (SELECT doc_id, truncated,
+  (SELECT intro FROM intro) || 'COMMIT DETAILS:' || chr(10) || '- Subject: "Change ' || CAST(doc_id AS VARCHAR) || '"' || chr(10) || '- Hash: ' || md5(CAST(doc_id AS VARCHAR))
+  || chr(10) || chr(10) || 'MODIFIED FILES:' || chr(10) || '- ' || lang || '/' || b.source || '.txt' || chr(10) || '- README' || chr(10) || chr(10)
+  || 'DIFF (changes made)' || CASE WHEN truncated THEN ' [TRUNCATED TO 10KB]' ELSE '' END || ':' || chr(10) || '```' || chr(10)
+  || CASE WHEN truncated THEN decode(raw[1:cut]) ELSE text END || chr(10) || '```' || chr(10) || chr(10)
+  || 'EXISTING CATEGORIES (prefer these):' || chr(10) || names || chr(10) || chr(10) || 'Name the category.' AS prompt
+  FROM b LEFT JOIN known USING (source))
+SELECT doc_id, truncated, CAST(octet_length(encode(prompt)) AS INTEGER) AS prompt_bytes, md5(prompt) AS prompt_md5 FROM p""".replace(
+        "(SELECT intro FROM intro)", "'You sort commits into categories and describe them. Read the commit below.' || chr(10) || chr(10)"),
+    "x1_enrichment": with_loaded(
+        """SELECT repository_id, hash, COALESCE(category, CASE WHEN ok THEN 'AREA ' || CAST(n % 5 AS VARCHAR) END) AS category,
+  CAST(CASE WHEN ok THEN n % 90 ELSE weight END AS INTEGER) AS weight,
+  CASE WHEN ok THEN CAST(least(n % 120, 100) AS SMALLINT) WHEN files_changed > 0 THEN NULL ELSE ai_confidence END AS ai_confidence,
+  CASE WHEN ok THEN CAST(n % 90 AS INTEGER) WHEN files_changed > 0 THEN NULL ELSE business_impact END AS business_impact,
+  CASE WHEN ok THEN 'Answer ' || CAST(n AS VARCHAR) || '.' WHEN files_changed > 0 THEN NULL ELSE description END AS description
+FROM (SELECT *, files_changed > 0 AND n % 7 > 1 AS ok FROM (SELECT *, CAST('0x' || substr(hash, 1, 4) AS INTEGER) AS n FROM loaded))"""),
     "w4_new_key_twice": with_loaded(
         """SELECT repository_id, hash, commit_date, author_name, author_email, lines_added, lines_deleted, files_changed,
   subject || ' v2' AS subject, 70 AS weight, CAST(NULL AS VARCHAR) AS category, CAST(77 AS SMALLINT) AS ai_confidence,
@@ -399,5 +420,5 @@ FROM commits c LEFT JOIN cw ON c.category = cw.name
 WHERE c.category IS NOT NULL AND c.weight > 0
 GROUP BY c.category, cw.weight""",
         """cw AS (SELECT category AS name, CAST(50 + COUNT(*) % 51 AS INTEGER) AS weight FROM commits
-        WHERE category IS NOT NULL GROUP BY category HAVING COUNT(*) >= 100)"""),
+        WHERE category IS NOT NULL AND length(category) % 2 = 0 GROUP BY category)"""),
 }

@@ -41,7 +41,7 @@ def _cents(c: str, scale: int = 2) -> Column:
 # ---------------------------------------------------------------- Q1 / Q15 -
 def repository_monthly_trend(commits: DataFrame, repositories: DataFrame, repository: str) -> DataFrame:
     """Q1: V3 of one repository, newest month first."""
-    v3 = V.monthly_stats_by_repo(commits, repositories).where(F.col("repository_name") == repository)
+    v3 = V.monthly_stats_by_repo(V.of_repository(commits, repositories, repository), repositories)
     return (v3.orderBy(F.col("month_start_date").desc())
             .select("year_month", "total_commits", "total_lines_changed", "unique_authors",
                     "avg_lines_changed_per_commit", "avg_commits_per_author"))
@@ -49,7 +49,7 @@ def repository_monthly_trend(commits: DataFrame, repositories: DataFrame, reposi
 
 def weighted_vs_raw_lines(commits: DataFrame, repositories: DataFrame, repository: str) -> DataFrame:
     """Q15: raw against weighted lines by month for one repository."""
-    v3 = V.monthly_stats_by_repo(commits, repositories).where(F.col("repository_name") == repository)
+    v3 = V.monthly_stats_by_repo(V.of_repository(commits, repositories, repository), repositories)
     return (v3.orderBy(F.col("year_month").desc())
             .select("repository_name", "year_month", "total_lines_changed", "weighted_lines_changed"))
 
@@ -100,9 +100,9 @@ def compare_repositories(commits: DataFrame, repositories: DataFrame, as_of=None
 
 # ----------------------------------------------------------------- Q5 / Q6 -
 def _period_averages(commits, repositories, repository, before, after):
-    v3 = V.monthly_stats_by_repo(commits, repositories)
     if repository is not None:
-        v3 = v3.where(F.col("repository_name") == repository)
+        commits = V.of_repository(commits, repositories, repository)
+    v3 = V.monthly_stats_by_repo(commits, repositories)
     m = F.col("month_start_date")
     period = (F.when(m.between(_d(before[0]), _d(before[1])), F.lit("before"))
               .when(m.between(_d(after[0]), _d(after[1])), F.lit("after")))
@@ -377,8 +377,8 @@ def category_trend(commits: DataFrame, repositories: DataFrame, as_of, months: i
     """
     start = F.add_months(F.trunc(_d(as_of), "month"), -(months - 1))
     if repository is not None:
-        v9 = V.monthly_category_stats(commits, repositories)
-        return (v9.where((F.col("repository_name") == repository) & (F.col("month_start_date") >= start))
+        v9 = V.monthly_category_stats(V.of_repository(commits, repositories, repository), repositories)
+        return (v9.where(F.col("month_start_date") >= start)
                 .select("month_start_date", "year_month", "category", "total_commits", "unique_authors",
                         "weighted_lines_changed", "effective_commits"))
     c = V.categorized(commits).where(F.col("commit_date") >= start.cast("timestamp"))
@@ -398,7 +398,7 @@ def category_list(commits: DataFrame, repositories: DataFrame | None = None,
     """Q22: V7 for all repositories, or V8 of one repository, by commits."""
     if repository is None:
         return V.category_stats(commits).orderBy(F.col("total_commits").desc(), "category")
-    v8 = V.category_by_repo(commits, repositories).where(F.col("repository_name") == repository)
+    v8 = V.category_by_repo(V.of_repository(commits, repositories, repository), repositories)
     return v8.orderBy(F.col("total_commits").desc(), "category")
 
 

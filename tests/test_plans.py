@@ -88,3 +88,19 @@ def test_ranks_are_built_without_a_job(spark, sf_small):
         E.queries()[name](spark, sf_small)
         assert not sc.statusTracker().getJobIdsForGroup(f"build-{name}"), name
     sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_repository_is_read_from_its_folder(spark, tmp_path):
+    from commitlens import schema as S
+    from commitlens.plans import queries as Q
+    from commitlens.plans.snapshots import CommitTable
+    import datetime as dt
+    rows = [(i, i % 3 + 1, f"{i:040x}", dt.datetime(2025, 1 + i % 4, 3), "N", "n@x", "API | s", 1, 1, 1, None, "API", 100, None, None, None, None) for i in range(30)]
+    repos = [(k, f"r{k}", None, None, None, None, None) for k in (1, 2, 3)]
+    table = CommitTable(spark, str(tmp_path / "t"))
+    table.write(spark.createDataFrame(rows, S.COMMITS_SCHEMA), spark.createDataFrame(repos, S.REPOSITORIES_SCHEMA))
+    c, r = table.read()
+    for build in (lambda: Q.repository_monthly_trend(c, r, "r2"), lambda: Q.weighted_vs_raw_lines(c, r, "r2"), lambda: Q.category_list(c, r, "r2"),
+                  lambda: Q.category_trend(c, r, "2025-04-30", 12, "r2"), lambda: Q.before_after(c, r, ("2025-01-01", "2025-02-28"), ("2025-03-01", "2025-04-30"), "r2")):
+        df = build()
+        assert "dynamicpruning" in plan_text(df) and df.count() > 0

@@ -6,15 +6,15 @@ from commitlens.sources import exports as X
 from commitlens.sources import gitlog as G
 
 DOC = {
-    "repository": "test-integration-repo", "repository_path": "/tmp/test-integration-repo",
-    "extraction_date": "2024-10-05T12:00:00+00:00",
+    "repository": "harbour", "repository_path": "/srv/git/harbour",
+    "extraction_date": "2025-02-03T06:30:00+00:00",
     "summary": {"total_commits": 2},
     "commits": [
-        {"hash": "a" * 40, "date": "2024-10-01T10:00:00+00:00", "author_name": "Test User",
-         "author_email": "test@example.com", "subject": "first", "lines_added": 50, "lines_deleted": 20,
-         "files_changed": 3, "files": [{"filename": "a.rb", "added": 50, "deleted": 20}]},
-        {"hash": "b" * 40, "date": "2024-10-02T10:00:00+00:00", "author_name": "Test User",
-         "author_email": "test@example.com", "subject": "second", "lines_added": 50, "lines_deleted": 30,
+        {"hash": "a" * 40, "date": "2025-01-07T21:15:00+00:00", "author_name": "Mia Kern",
+         "author_email": "mia@kern.example", "subject": "DOCK | cranes", "lines_added": 12, "lines_deleted": 7,
+         "files_changed": 1, "files": [{"filename": "crane.py", "added": 12, "deleted": 7}]},
+        {"hash": "b" * 40, "date": "2025-01-19T04:45:00+00:00", "author_name": "Mia Kern",
+         "author_email": "mia@kern.example", "subject": "DOCK | ropes", "lines_added": 3, "lines_deleted": 0,
          "files_changed": 2, "weight": 40},
     ],
 }
@@ -28,24 +28,24 @@ def test_read_export_documents(spark, tmp_path):
     commits = X.export_commits(docs).orderBy("_pos").collect()
     assert [c["hash"][0] for c in commits] == ["a", "b"]
     assert [c["weight"] for c in commits] == [100, 40]
-    assert commits[0]["commit_date"].isoformat() == "2024-10-01T10:00:00"
+    assert commits[0]["commit_date"].isoformat() == "2025-01-07T21:15:00"
     bad = {r["_file"].rsplit("/", 1)[-1]: r for r in X.invalid_documents(docs).collect()}
     assert set(bad) == {"missing.json", "broken.json"}
     assert bad["missing.json"]["missing_keys"] == ["commits"]
     repos = X.export_repositories(docs).collect()
-    assert [(r["name"], r["url"]) for r in repos] == [("test-integration-repo", "/tmp/test-integration-repo")]
+    assert [(r["name"], r["url"]) for r in repos] == [("harbour", "/srv/git/harbour")]
 
 
 LOG = (
-    "COMMIT|" + "1" * 40 + "|2024-06-01 10:00:00 +0000|Dev One|dev@example.com|Add README|BODY||BODYEND|\n"
-    "1\t0\tREADME.md\n\n"
-    "COMMIT|" + "2" * 40 + "|2024-06-02 10:00:00 +0200|Dev One|dev@example.com|BILLING | Add file1|BODY|"
-    "line one|part two\n**AI tool: Claude Code and Copilot**\nBODYEND|\n"
-    "3\t0\tfile1.txt\n-\t-\tlogo.png\n\n"
-    "COMMIT|" + "3" * 40 + "|2024-06-03 10:00:00 +0000|Dev One|dev@example.com|"
-    'Revert "CS | Move HTML content (!10463)" (!10662)|BODY||BODYEND|\n'
-    "1\t0\tfile2.txt\n0\t1\tfile1.txt\n\n"
-    "COMMIT|" + "4" * 40 + "|yesterday|Dev One|dev@example.com|Merge branch|BODY||BODYEND|\n"
+    "COMMIT|" + "1" * 40 + "|2025-01-05 07:20:00 +0000|Jon Falk|jon@falk.example|Lay out the yard|BODY||BODYEND|\n"
+    "8\t0\tyard.md\n\n"
+    "COMMIT|" + "2" * 40 + "|2025-01-06 09:40:00 +0200|Jon Falk|jon@falk.example|FLEET | Count | berths|BODY|"
+    "per pier|and per quay\n**AI tool: Claude Code and Copilot**\nBODYEND|\n"
+    "6\t2\tberths.py\n-\t-\tmap.png\n\n"
+    "COMMIT|" + "3" * 40 + "|2025-01-08 23:05:00 +0000|Jon Falk|jon@falk.example|"
+    'Revert "FLEET | Paint hulls (!77)" (!91)|BODY||BODYEND|\n'
+    "5\t0\thulls.py\n0\t4\tberths.py\n\n"
+    "COMMIT|" + "4" * 40 + "|last spring|Jon Falk|jon@falk.example|Merge the north pier|BODY||BODYEND|\n"
 )
 
 
@@ -54,35 +54,34 @@ def test_read_git_log(spark, tmp_path):
     p.write_text(LOG)
     rows = {r["hash"][0]: r for r in G.read_git_log(spark, str(p), "demo").collect()}
     assert len(rows) == 4
-    assert (rows["1"]["lines_added"], rows["1"]["files_changed"]) == (1, 1)
+    assert (rows["1"]["lines_added"], rows["1"]["files_changed"]) == (8, 1)
     two = rows["2"]
-    assert two["subject"] == "BILLING | Add file1" and two["category"] == "BILLING"
-    assert (two["lines_added"], two["files_changed"]) == (3, 1)        # binary line ignored
-    assert two["body"].startswith("line one\npart two\n") and two["ai_tools"] == "CLAUDE CODE, GITHUB COPILOT"
-    assert two["commit_date"].isoformat() == "2024-06-02T08:00:00"
-    assert rows["3"]["subject"] == 'Revert "CS | Move HTML content (!10463)" (!10662)'
-    assert (rows["3"]["lines_added"], rows["3"]["lines_deleted"], rows["3"]["files_changed"]) == (1, 1, 2)
+    assert two["subject"] == "FLEET | Count | berths" and two["category"] == "FLEET"
+    assert (two["lines_added"], two["lines_deleted"], two["files_changed"]) == (6, 2, 1)        # binary line ignored
+    assert two["body"].startswith("per pier\nand per quay\n") and two["ai_tools"] == "CLAUDE CODE, GITHUB COPILOT"
+    assert two["commit_date"].isoformat() == "2025-01-06T07:40:00"
+    assert rows["3"]["subject"] == 'Revert "FLEET | Paint hulls (!77)" (!91)'
+    assert (rows["3"]["lines_added"], rows["3"]["lines_deleted"], rows["3"]["files_changed"]) == (5, 4, 2)
     four = rows["4"]
-    assert (four["commit_date"], four["iso_date"], four["files_changed"]) == (None, "yesterday", 0)
-    assert sum(r["files_changed"] for r in rows.values()) == 4
+    assert (four["commit_date"], four["iso_date"], four["files_changed"]) == (None, "last spring", 0)
     assert not any(r["_corrupt"] for r in rows.values())
 
 
 def test_repository_config(spark, tmp_path):
     cfg = {"repositories": [
-        {"name": "my-backend", "path": "/a", "description": "Backend API", "enabled": True},
-        {"name": "my-frontend", "path": "~/b", "description": "React Frontend", "enabled": True},
-        {"name": "my-mobile", "path": "/c", "description": "Mobile App", "enabled": False}]}
+        {"name": "harbour", "path": "/srv/git/harbour", "description": "Berths and cranes", "enabled": True},
+        {"name": "ferry", "path": "~/ferry", "description": "Timetables", "enabled": True},
+        {"name": "museum", "path": "/srv/git/museum", "description": "Old ships", "enabled": False}]}
     p = tmp_path / "repos.json"
     p.write_text(json.dumps(cfg, indent=2))
     conf = CF.read_repository_config(spark, str(p))
     assert CF.select_repositories(conf).count() == 2
-    assert CF.select_repositories(conf, "my-frontend").count() == 1
+    assert CF.select_repositories(conf, "ferry").count() == 1
     try:
         CF.select_repositories(conf, "nope")
         raise AssertionError("expected an error")
     except ValueError as exc:
-        assert "my-backend, my-frontend, my-mobile" in str(exc)
+        assert "ferry, harbour, museum" in str(exc)
 
 
 def test_write_and_read_export_lines(spark, sf_small, tmp_path):

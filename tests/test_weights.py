@@ -122,3 +122,21 @@ def test_building_runs_no_job(spark, sf_small):
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_long_run_of_digits_gives_few_tokens(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from commitlens.operators import weights as W
+    long = "9" * 20_000
+    rows = [(1, f"{i:040x}", s) for i, s in enumerate([f"!{long} base", "x !99 y", 'Revert "x" (!99)', f"revert (!{long[:500]})", "other #99", "Revert (#9)"])]
+    df = spark.createDataFrame(rows, "repository_id int, hash string, subject string")
+    begun = time.time()
+    size = W.original_tokens(df).agg(F.sum(F.length("token"))).first()[0]
+    assert size < 2000 and time.time() - begun < 30
+    got = sorted((int(r.revert_hash, 16), int(r.original_hash, 16)) for r in W.revert_matches(df).collect())
+    want = sorted((i, j) for i, t in ((2, "!99"), (3, f"!{long[:500]}"), (5, "#9")) for j, r in enumerate(rows) if i != j and t in r[2])
+    assert got == want
+    assert {int(r.hash, 16) for r in W.zeroed_keys(df).collect()} == {x for pair in want for x in pair}
