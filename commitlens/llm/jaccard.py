@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from commitlens.llm.common import batches, materialise, table, text_hash
 
 WIDTH, PERCENT = 4, 85
-KEYS, BITS, FOLDED, SKETCH = 8, 1024, 256, 1 << 20
+KEYS, BITS, FOLDED, SKETCH = 8, 1024, 1024, 1 << 20
 #: Shingles gathered before those frequent among them go to the sketch, and how many make one frequent.
 GATHER, FREQUENT = 4_000_000, 4
 #: Rows (three numbers each) that may be broadcast; more are joined by a shuffle.
