@@ -57,3 +57,20 @@ def placed(df: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id()
     return df.withColumn("_row", row).withColumn("_pid", F.shiftright("_row", 33)).withColumn(
         "_idx", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def aside(df: DataFrame, *own: Column | str) -> DataFrame:
+    """The rows of the input as one column ``_row`` beside the operator's own columns, so that no names clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *own)
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The input's columns out of ``_row``, some of them replaced."""
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name that the input does not have."""
+    while name in columns:
+        name = f"_{name}"
+    return name

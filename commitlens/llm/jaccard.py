@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import batches, materialise, table, text_hash
+from commitlens.llm.common import aside, batches, materialise, table, text_hash
 
 WIDTH, PERCENT = 4, 85
 KEYS, BITS, FOLDED, SKETCH = 8, 1024, 1024, 1 << 20
@@ -369,8 +369,10 @@ def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """Per row of the input: doc_id, th (hash of its text), n_shingles, component_id."""
+    """Per row of the input: doc_id, th (hash of its text), n_shingles, component_id, root (the component's
+    own name, null without shingles)."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     found = described(docs, width)
     rows = found.where(F.col("bucket").isNull())
     classes = rows.where("n > 0").groupBy("cls").agg(
@@ -394,9 +396,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     named = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = materialise(named, "class-roots")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = materialise(named.join(smallest, "root").select("cls", "component_id"), "class-components")
+    of_class = materialise(named.join(smallest, "root").select("cls", "component_id", "root"), "class-components")
     return rows.join(of_class, "cls", "left").select(
-        "doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,13 +407,15 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_documents(docs: DataFrame, **how) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays, once."""
-    own = jaccard_components(docs, **how)
-    kept = own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), "n_shingles", "component_id").agg(F.min("th").alias("_th"))
-    kept = materialise(kept.select("_id", "_th").distinct(), "kept")
-    th = text_hash(docs["text"])
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (th == kept["_th"]), "left_semi").withColumn("_th", text_hash(F.col("text"))).dropDuplicates(
-        ["doc_id", "_th"]).select(*docs.columns)
+    """Pipeline stage: of each component one document stays, that with the least doc_id (then text hash; a null id last);
+    of documents without shingles one of each doc_id and text.  All columns of the input pass on, whatever their names."""
+    own = jaccard_components(docs, **how).select("doc_id", "th", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k")
+    kept = own.where(F.col("root").isNotNull()).groupBy("root").agg(first).select("k.doc_id", "k.th")
+    kept = materialise(kept.unionByName(own.where(F.col("root").isNull()).select("doc_id", "th")).distinct(), "kept")
+    rows = aside(docs, F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("own"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("own").eqNullSafe(F.col("th")), "left_semi")
+    return rows.dropDuplicates(["id", "own"]).select("_row.*")
 
 
 OP10_SQL = r"""

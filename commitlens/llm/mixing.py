@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import WORD, materialise, table, word_count
+from commitlens.llm.common import WORD, aside, materialise, restored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,9 +30,9 @@ def mix_key(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame, text: str = "text") -> DataFrame:
     """Narrow: adds size, _key and _range to the input's columns."""
-    return (df.withColumn("size", word_count(F.col("text"))).withColumn("_key", mix_key(F.col("doc_id")))
+    return (df.withColumn("size", word_count(F.col(text))).withColumn("_key", mix_key(F.col("doc_id")))
             .withColumn("_range", F.shiftright("_key", KEY_BITS - RANGE_BITS)))
 
 
@@ -99,18 +99,17 @@ def mix(df: DataFrame, cut: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """Pipeline stage: a row for each epoch that takes a document, under the columns of the
     input; the copy at a cut keeps as many words as the budget has left."""
-    rows = sized(docs)
+    rows = sized(aside(docs, "doc_id", "source"), "_row.text")
     cut = cuts(rows.select("source", "doc_id", "size", "_key", "_range").checkpoint(), **how)
     out = mix(rows, cut).where(F.col("taken") > 0)
     over = F.col("taken") % F.col("size")
     copies = F.floor(F.col("taken") / F.col("size")) + F.when(over > 0, 1).otherwise(0)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    pieces = F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     short = (F.col("_copy") * F.col("size")) > F.col("taken")
-    out = out.withColumn("text", F.when(short, F.array_join(F.slice(pieces, F.lit(1), over.cast("int")), "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = F.when(short, F.array_join(F.slice(pieces, F.lit(1), over.cast("int")), "")).otherwise(F.col("_row.text"))
+    chars = F.when(short, F.length(text).cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else text
+    return restored(out, docs.columns, text=text, n_chars=chars)
 
 
 def mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ text therefore count once; a line is above the limit when more than ``max_docs``
 texts of the host hold it, whatever other lines these have.
 
 Defined cases: null text has no words and fails the base rules; a null host counts as
-the empty host; repeated rows are judged one by one; an empty table gives an empty result.
+the empty host; repeated rows are judged one by one; an empty table gives an empty result; the stage
+passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import UPPER, batches, materialise, table, text_hash
+from commitlens.llm.common import UPPER, aside, batches, fresh, materialise, table, text_hash
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
@@ -124,26 +125,31 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", *_METRICS, "n_left", "base_failed", "kept")
 
 
-def _without(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(it):
-        texts = []
-        for text, removed in zip(b.column("text").to_pylist(), b.column("removed").to_pylist(), strict=True):
-            if removed:
-                drop = set(removed)
-                text = "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or line_key(w) not in drop)
-            texts.append(text)
-        out = b.drop_columns(["removed"])
-        yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+def _without(name: str):
+    """Drop the lines whose hashes the column ``name`` lists, and the column."""
+    def drop_lines(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            texts = []
+            for text, removed in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True):
+                if removed:
+                    drop = set(removed)
+                    text = "\n".join(x for x in text.split("\n") if not (w := x.encode().split()) or line_key(w) not in drop)
+                texts.append(text)
+            out = b.drop_columns([name])
+            yield out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return drop_lines
 
 
 def clean_documents(docs: DataFrame, **how) -> DataFrame:
     """Pipeline stage: rejected documents go, lines above the limits leave the others' texts."""
     names = docs.columns
-    verdicts = judged(docs, **how).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "kept", "removed").dropDuplicates(["_id", "_th"])
+    verdicts = judged(docs, **how).select("doc_id", "th", "kept", "removed").dropDuplicates(["doc_id", "th"])
     verdicts = materialise(verdicts.where(~F.col("kept") | F.col("removed").isNotNull()), "verdicts")
-    on = docs["doc_id"].eqNullSafe(verdicts["_id"]) & (text_hash(docs["text"]) == verdicts["_th"])
-    kept = docs.join(verdicts, on, "left").where(F.coalesce("kept", F.lit(True))).select(*names, "removed")
-    out = kept.mapInArrow(_without, docs.schema)
+    rows = aside(docs, F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("own"))
+    rows = rows.join(verdicts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("th")), "left").where(F.coalesce("kept", F.lit(True)))
+    removed = fresh(names, "removed")
+    out = rows.select("_row.*", F.col("removed").alias(removed)).mapInArrow(_without(removed), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)
@@ -162,11 +168,7 @@ lw as (
   from ln where len(lw) > 0),
 dup as (select r, count(*) - count(distinct line) as n from lw group by 1),
 one as (select r, host, th, h, sum(n) as n from lw group by all),
-two as (select r, list(h order by h)[1] as m1, list(h order by h)[2] as m2 from one group by 1),
-nb as (select distinct host, h, th, case when m2 is null then '' when h = m1 then m2 else m1 end as near from one join two using (r)),
-often as (
-  select host, h from (select host, h, near, count(*) as n from nb group by all)
-  group by 1, 2 having count(*) > 20 and count(*) * 4 >= sum(n)),
+often as (select host, h from one group by 1, 2 having count(distinct th) > 20),
 gone as (select r, sum(n) as n from one join often using (host, h) group by 1),
 win as (select r, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) as x
         from (select r, w, unnest(range(1, len(w) - 1)) as i from m where len(w) >= 3)),

@@ -83,7 +83,9 @@ def with_slots(df: DataFrame, group: str = "shard", order: tuple[str, ...] = (),
     lower = F.sum("_n").over(Window.partitionBy("_pid").orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0)
     bases = counts.select("_pid", group, (F.coalesce(before, zero) - F.coalesce(lower, zero)).alias("_base"))
-    return kept.join(bases, ["_pid", group]).withColumn(into, F.col("_idx") + F.col("_base")).drop("_pid", "_idx", "_row", "_base")
+    bases = bases.select(F.col("_pid").alias("_of"), F.col(group).alias("_group"), "_base")
+    at = (F.col("_pid") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group"))  # null is a group like any other
+    return kept.join(bases, at).withColumn(into, F.col("_idx") + F.col("_base")).drop("_pid", "_idx", "_row", "_base", "_of", "_group")
 
 
 def shard_documents(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:

@@ -318,3 +318,38 @@ def test_query_equals_its_sql(spark, sf_small, name):
     from compare import compare, duck
 
     assert compare(spark, sf_small, name, E.queries()[name], E.oracle_sql()[name], duck(sf_small))["status"] == "match"
+
+
+def clashing(spark, rows, *names):
+    return spark.createDataFrame([(i, t, s, *(f"own {n}" for n in names)) for i, t, s in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    names = ("kept", "removed", "_th", "th", "cls", "target", "source_size", "cut", "rest", "epochs", "taken", "size", "_key", "_range", "_row", "root", "own", "id", "key", "n", "token")
+    frame = clashing(spark, ROWS, *names)
+    for stage in (quality.clean_documents, jaccard.unique_documents, mixing.mixed_documents):
+        out = stage(frame)
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names), stage
+
+
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    rows = [(6, "one two three four five six", "a"), (6, "seven eight nine ten eleven twelve", "a"), (7, BASE, "a"), (7, NEAR, "a"), (None, "x y z a b c d", "a"), (None, None, "a"), (None, None, "b")]
+    kept = sorted((str(r.doc_id), r.text or "") for r in jaccard.unique_documents(docs(spark, rows)).collect())
+    texts = [t for _, t in kept]
+    assert len(kept) == 5 and rows[0][1] in texts and rows[1][1] in texts and (BASE in texts) != (NEAR in texts)
+
+
+def test_slots_of_null_groups(spark):
+    frame = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "doc_id long, shard string").repartition(3)
+    got = sharding.with_slots(frame, order=("doc_id",)).collect()
+    for group in (None, "a"):
+        assert sorted(r.slot for r in got if r.shard == group) == list(range(10))
+
+
+def test_line_rule_equals_its_sql_at_a_larger_size(spark):
+    from compare import compare, duck
+
+    name, sf = "op8_line_frequency_quality", "/root/testdata/sf0.1"
+    assert compare(spark, sf, name, E.queries()[name], E.oracle_sql()[name], duck(sf))["status"] == "match"
