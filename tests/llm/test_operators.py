@@ -353,3 +353,27 @@ def test_line_rule_equals_its_sql_at_a_larger_size(spark):
 
     name, sf = "op8_line_frequency_quality", "/root/testdata/sf0.1"
     assert compare(spark, sf, name, E.queries()[name], E.oracle_sql()[name], duck(sf))["status"] == "match"
+
+
+def test_tree_draws_equal_brute_force(spark):
+    import xxhash
+
+    topology = [[[(0, 1.0), (1, 2.5)], [(2, 1.0)]], [[(3, 0.0), (4, 3.0), (5, 1.0)]], [[(6, 0.5)], [(7, 0.5), (8, 0.5)]]]
+    weight = lambda node: node[1] if isinstance(node, tuple) else sum(map(weight, node))
+
+    def descend(key, node, path="root"):
+        if isinstance(node, tuple):
+            return node[0]
+        live = [(c, f"{path}.s{c[0]}" if isinstance(c, tuple) else f"{path}.{i}") for i, c in enumerate(node) if weight(c) > 0]
+        draw = lambda p, w: math.log(((xxhash.xxh64_intdigest(f"{key}|{p}", 42) >> 11) + 0.5) / 2**53) / w
+        return descend(key, *max(live, key=lambda x: draw(x[1], weight(x[0]))) if len(live) > 1 else live[0])
+
+    keys = [*range(2000), None]
+    got = {r.doc_id: r.shard for r in sharding.with_shards(spark.createDataFrame([(k,) for k in keys], "doc_id long"), topology).collect()}
+    assert got == {k: descend("" if k is None else str(k), topology) for k in keys} and set(got.values()) == {0, 1, 2, 4, 5, 6, 7, 8}
+    frame = spark.createDataFrame([(1, "é x"), (2, None), (3, "")], "doc_id long, text string")
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="op1-")
+    frame.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: (r.size, r.text_crc32, r.law) for r in E.queries()["op1_hash_tree_shards"](spark, folder).collect()}
+    assert rows == {1: (12, zlib.crc32("é x".encode()), "key"), 2: (8, 0, "key"), 3: (8, 0, "key")}
