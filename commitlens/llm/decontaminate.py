@@ -4,6 +4,7 @@ A text becomes a template: numbers, units after numbers, and names (capitalised
 they stand) turn into typed placeholders, marks go, letters are lowered.  Windows of five
 template tokens are hashed and joined with those of the benchmark; windows with names are hashed
 a second time with the names as plain words, so that copies in other letters are found too.
+Only documents with enough of an item's hashes go on (``candidates``).
 Windows that match along one alignment of a document with an item must agree on the
 slots: one item value stands for one document value (several may stand for the same), so the
 same question with other numbers is caught; windows that hold another value than most do are left out,
@@ -46,11 +47,9 @@ def marked(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-def windows(df: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, h, names, at, slots, total, plain): a row per window, and another with its names as words if it has any.
-
-    names: 1 names are slots, 0 they are words, null there are none.  slots holds the values of all slots,
-    without their tokens between; plain: some token is no slot."""
+def tokens(df: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, raw, tpl, low, total, some): a text's tokens, as a template if there are slots, with its names as words if
+    there are any; the number of its windows and the places where they begin."""
     sign = f"[{NAME}-{UNIT}]"
     df = df.select(*keep, marked(F.coalesce("text", F.lit(""))).alias("_m"))
     # No filter on _m: it would be pushed down and mark the text twice.  Without slots the template is the text itself.
@@ -59,15 +58,34 @@ def windows(df: DataFrame, *keep: str) -> DataFrame:
     df = df.select(*keep, F.split("_m", " +").alias("raw"), F.when(has, F.split(F.regexp_replace("_m", f"({sign})[^ ]*", "$1"), " +")).alias("tpl"),
                    F.when(named, F.split(F.regexp_replace(F.translate("_m", NAME, ""), f"([{NUMBER}{UNIT}])[^ ]*", "$1"), " +")).alias("low"))
     df = df.select(*keep, "raw", F.coalesce("tpl", "raw").alias("tpl"), "low", F.col("tpl").isNotNull().alias("_any"))
+    df = df.select("*", F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1)).alias("total"))
+    empty = (F.size("tpl") == 1) & (F.element_at("tpl", 1) == "")
+    return df.select("*", F.when(empty, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("total"))).alias("some"))
+
+
+def over(words: str, i: Column) -> Column:
+    return F.xxhash64(*(F.get(words, i + (k - 1)) for k in range(WIDTH)))
+
+
+def hashes(df: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, h): the hashes that ``windows`` gives, without all that goes with them."""
+    df = tokens(df, *keep)
+    own, low = F.transform("some", lambda i: over("tpl", i)), F.transform("some", lambda i: over("low", i))
+    return df.select(*keep, F.explode(F.when(F.col("low").isNull(), own).otherwise(F.concat(own, low))).alias("h"))
+
+
+def windows(df: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, h, names, at, slots, total, plain): a row per window, and another with its names as words if it has any.
+
+    names: 1 names are slots, 0 they are words, null there are none.  slots holds the values of all slots,
+    without their tokens between; plain: some token is no slot."""
     # Sizes are columns before the windows are told: behind the explode they would carry the tokens into each row.
-    df = df.select("*", F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1)).alias("total"), F.least(F.size("tpl"), F.lit(WIDTH)).alias("_wide"))
-    some = F.when((F.size("tpl") == 1) & (F.element_at("tpl", 1) == ""), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("total")))
+    df = tokens(df, *keep).select("*", F.least(F.size("tpl"), F.lit(WIDTH)).alias("_wide"))
     none = F.array().cast("array<string>")
-    over = lambda tokens, i: F.xxhash64(*(F.get(tokens, i + (k - 1)) for k in range(WIDTH)))
     one = lambda i: F.struct(
         over("tpl", i).alias("h"), F.when(F.col("low").isNotNull(), over("low", i)).alias("g"), i.alias("at"),
         F.when(F.col("_any"), F.filter(F.slice("raw", i, F.lit(WIDTH)), lambda t: F.substring(t, 1, 1).between(NAME, UNIT))).otherwise(none).alias("slots"))
-    df = df.select(*keep, "total", "_wide", F.explode(F.transform(some, one)).alias("w"))
+    df = df.select(*keep, "total", "_wide", F.explode(F.transform("some", one)).alias("w"))
     way = lambda h, names: F.struct(F.col(h).alias("h"), F.lit(names).cast("int").alias("names"))
     ways = F.when(F.col("w.h") == F.coalesce("w.g", "w.h"), F.array(way("w.h", None))).otherwise(F.array(way("w.h", 1), way("w.g", 0)))
     return df.select(*keep, "total", "w.at", "w.slots", (F.size("w.slots") < F.col("_wide")).alias("plain"), F.explode(ways).alias("y")).select(
@@ -90,6 +108,17 @@ def agreeing(hits: Column) -> Column:
     return bound(F.flatten(hits["pairs"]), lambda pairs: F.when(single(pairs), hits).otherwise(bound(votes(pairs), lambda v: bound(lost(v), kept))))
 
 
+def candidates(rows: DataFrame, items: DataFrame, min_cover: float) -> DataFrame:
+    """The rows (doc_id, th, text) of which enough windows of an item are found, whatever their slots hold and wherever they
+    are: a bound from above, so that slots are looked at in few documents only."""
+    small = items.count() <= BROADCAST_ROWS
+    side = items.select("_item", "windows", "h", "i").distinct()
+    met = hashes(rows, "doc_id", "th").join(F.broadcast(side) if small else side, "h").groupBy("doc_id", "th", "_item", "windows").agg(F.countDistinct("i").alias("n"))
+    found = materialise(met.where(F.col("n") >= F.col("windows") * min_cover).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "candidates")
+    found_side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return rows.join(found_side, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["th"] == F.col("_th")), "left_semi")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, th, item_id, windows, matched, changed): a row per document and item that it holds;
     changed: a slot has another value than the item's."""
@@ -97,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_C
     items = materialise(windows(items, "_item", "item_id"), "benchmark-windows").select(
         "_item", "item_id", F.col("total").alias("windows"), "h", F.col("names").alias("named"), F.col("at").alias("i"), F.col("slots").alias("theirs"))
     side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    rows = candidates(docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text"), items, min_cover)
     hits = windows(rows, "doc_id", "th").drop("total").join(side, "h")
     # Windows without names on either side count both with names as slots and with names as words.
     hits = hits.withColumn("way", F.explode(F.when(F.col("names").isNull() & F.col("named").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(
