@@ -27,21 +27,23 @@ WIDTH, MIN_COVER = 5, 0.8
 #: Windows of the benchmark (under 100 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: The first sign after those of the slots, and more characters than a text has.
+_BEYOND, _LONGEST = "\ue003", (1 << 31) - 1
 UNITS = ("%", "kg", "g", "mg", "km", "cm", "mm", "m", "miles", "mile", "feet", "ft", "inches", "inch", "l", "ml", "liters", "hours", "hour", "h", "minutes", "minute",
          "min", "seconds", "second", "s", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "degrees")
 _UNITS = "|".join(UNITS[1:])
-#: Each pattern looks at one character before anything costly.  Signs that a text has of its own count as slots.
+#: Each pattern looks at one character before anything costly.  Tokens that begin with a sign of the text's own count as slots.
 _STEPS = (
     (r"(?=[0-9])(?<![\p{L}\p{N}.,])([0-9]+(?:[.,][0-9]+)*)(?![\p{L}\p{N}])", f" {NUMBER}$1 "),
     (rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.,])([0-9]+(?:[.,][0-9]+)*)(?=(?i:{_UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 "),
     (rf"{NUMBER}([0-9.,]+)\s*(%|(?i:{_UNITS})(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2 "),
     (rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}])(\p{{L}}+)", f" {NAME}$1"),
-    (rf"[^a-zA-Z0-9\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}%.,]+|[.,]+(?![0-9])|(?<![0-9])[.,]+", " "),
+    (rf"[^a-zA-Z0-9 \p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}%.,]+|[.,](?:(?![0-9])|(?<![0-9].))", " "),
 )
 
 
 def marked(text: Column) -> Column:
-    """The text's tokens between single spaces, slots led by the sign of their type."""
+    """The text's tokens between spaces, slots led by the sign of their type."""
     for pattern, to in _STEPS:
         text = F.regexp_replace(text, pattern, to)
     return F.lower(F.trim(text))
@@ -50,17 +52,17 @@ def marked(text: Column) -> Column:
 def tokens(df: DataFrame, *keep: str) -> DataFrame:
     """(*keep, raw, tpl, low, total, some): a text's tokens, as a template if there are slots, with its names as words if
     there are any; the number of its windows and the places where they begin."""
-    sign = f"[{NAME}-{UNIT}]"
     df = df.select(*keep, marked(F.coalesce("text", F.lit(""))).alias("_m"))
     # No filter on _m: it would be pushed down and mark the text twice.  Without slots the template is the text itself.
     named = F.contains("_m", F.lit(NAME))
-    has = named | F.contains("_m", F.lit(NUMBER)) | F.contains("_m", F.lit(UNIT))
-    df = df.select(*keep, F.split("_m", " +").alias("raw"), F.when(has, F.split(F.regexp_replace("_m", f"({sign})[^ ]*", "$1"), " +")).alias("tpl"),
-                   F.when(named, F.split(F.regexp_replace(F.translate("_m", NAME, ""), f"([{NUMBER}{UNIT}])[^ ]*", "$1"), " +")).alias("low"))
-    df = df.select(*keep, "raw", F.coalesce("tpl", "raw").alias("tpl"), "low", F.col("tpl").isNotNull().alias("_any"))
+    df = df.select(*keep, F.array_remove(F.split("_m", " "), "").alias("raw"), named.alias("_named"),
+                   (named | F.contains("_m", F.lit(NUMBER)) | F.contains("_m", F.lit(UNIT))).alias("_any"))
+    slot = lambda t: (t >= NAME) & (t < _BEYOND)
+    tpl = F.transform("raw", lambda t: F.when(slot(t), F.substring(t, 1, 1)).otherwise(t))
+    low = F.transform("raw", lambda t: F.when(~slot(t), t).when(t < NUMBER, F.substring(t, 2, _LONGEST)).otherwise(F.substring(t, 1, 1)))
+    df = df.select(*keep, "raw", "_any", F.when(F.col("_any"), tpl).otherwise(F.col("raw")).alias("tpl"), F.when(F.col("_named"), low).alias("low"))
     df = df.select("*", F.greatest(F.size("tpl") - (WIDTH - 1), F.lit(1)).alias("total"))
-    empty = (F.size("tpl") == 1) & (F.element_at("tpl", 1) == "")
-    return df.select("*", F.when(empty, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("total"))).alias("some"))
+    return df.select("*", F.when(F.size("tpl") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("total"))).alias("some"))
 
 
 def over(words: str, i: Column) -> Column:
@@ -68,10 +70,16 @@ def over(words: str, i: Column) -> Column:
 
 
 def hashes(df: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, h): the hashes that ``windows`` gives, without all that goes with them."""
-    df = tokens(df, *keep)
-    own, low = F.transform("some", lambda i: over("tpl", i)), F.transform("some", lambda i: over("low", i))
-    return df.select(*keep, F.explode(F.when(F.col("low").isNull(), own).otherwise(F.concat(own, low))).alias("h"))
+    """(*keep, h): the hashes that ``windows`` gives, without all that goes with them.
+
+    The places of both ways are told first and hashed behind the explode, so that hashes and the join with them are compiled as one.
+    An outer explode: the filter that Spark puts below a plain one would mark the text twice."""
+    df = tokens(df, *keep).select(*keep, "tpl", "low", "total", "some")
+    both = F.when(F.col("low").isNull() | (F.size("some") == 0), F.col("some")).otherwise(F.sequence(F.lit(1), F.col("total") * 2))
+    df = df.select(*keep, "tpl", "low", "total", F.explode_outer(both).alias("p")).where("p is not null")
+    second = F.col("p") > F.col("total")
+    df = df.select(*keep, F.when(second, F.col("low")).otherwise(F.col("tpl")).alias("way"), F.when(second, F.col("p") - F.col("total")).otherwise(F.col("p")).alias("i"))
+    return df.select(*keep, over("way", F.col("i")).alias("h"))
 
 
 def windows(df: DataFrame, *keep: str) -> DataFrame:
