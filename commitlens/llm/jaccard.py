@@ -7,8 +7,9 @@ Sets of equal shingles form classes; only one document of a class takes part.  T
    This joins large groups of near copies in linear work.
 2. ``tiles``: a shared prefix of the sets (rare shingles first) is necessary for a link, and so
    is a like size.  Classes meet in tiles of one prefix shingle and one size band, unless they are of
-   one component already.  Hashed bitmap signatures bound the overlap from above: the bits in which two
-   signatures differ are no more than the shingles in which the sets differ.
+   one component already.  The places of the shingle in both sets bound what they share from it on; a pair that shares
+   one of the last few shingles before it is left to that tile.  Hashed bitmap signatures bound the overlap from above:
+   the bits in which two signatures differ are no more than the shingles in which the sets differ.
 3. The pairs left pass a bitmap of two bits a shingle, and ``nearest`` once more; then ``linked``
    intersects all that are still in different components exactly, as sorted arrays.
 
@@ -28,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import aside, batches, materialise, table, text_hash
@@ -41,6 +42,8 @@ GATHER, FREQUENT = 4_000_000, 4
 BROADCAST_ROWS = 500_000
 #: How often each class is compared with its nearest partner alone before all other pairs are.
 NEAREST_ROUNDS = 2
+#: Shared prefix shingles before its own that a row of a tile knows.
+EARLIER = 4
 #: Comparisons with one class in one task.
 SPLIT = 500
 #: Longer words are hashed one by one.
@@ -105,12 +108,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of which a linked set holds one, in the common order."""
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of which a linked set holds one, and how many of the set's come before each in the common order."""
     n = len(s)
     keep = n - -(-n * percent // 100) + 1
     rank = (levels[(s % np.uint64(len(levels))).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    return s[rank <= np.partition(rank, keep - 1)[keep - 1]]
+    first = rank <= np.partition(rank, keep - 1)[keep - 1]
+    rank = rank[first]
+    return s[first], np.searchsorted(np.sort(rank), rank).astype(np.int32)
 
 
 def bitmap(s: np.ndarray) -> list[int]:
@@ -174,7 +179,7 @@ def _prefixes(levels: np.ndarray, percent: int = PERCENT, width: int = WIDTH):
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches(it):
-            out_t, out_c = [], []
+            out_t, out_c, out_p = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, width)
                 if len(s):
@@ -184,11 +189,12 @@ def _prefixes(levels: np.ndarray, percent: int = PERCENT, width: int = WIDTH):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(cls)
-                    p = prefix(s, levels, percent)
-                    out_t.append(p.view(np.int64))
-                    out_c.append(np.full(len(p), _signed(cls), np.int64))
+                    first, place = prefix(s, levels, percent)
+                    out_t.append(first.view(np.int64))
+                    out_c.append(np.full(len(first), _signed(cls), np.int64))
+                    out_p.append(place)
             if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t)), pa.array(np.concatenate(out_c))], names=["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_t, out_c, out_p)], names=["token", "cls", "place"])
 
     return run
 
@@ -350,21 +356,27 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def tiles(tokens: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of classes of different components that share a tile and whose bound admits a link."""
+    """(a, b): pairs of classes of different components that share a tile and whose bound admits a link.
+
+    tokens: (token, cls, place).  Before the first shingle that two sets share, in the common order, neither holds a common one;
+    so a linked pair passes the bound by places there, and only there it is sure to be met."""
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
     words, step = BITS // 64, FOLDED // 64
     folded = F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), [F.col("bits")[i] for i in range(k, words, step)]) for k in range(step)))
     facts = classes.select("cls", "n", folded.alias("bits"), band.alias("band")).join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "n", "bits", "band", F.coalesce("root", "cls").alias("root"))
     facts = materialise(facts, "facts")
-    own = tokens.join(facts.select("cls", "root", "band"), "cls")
-    spread = own.select("token", "cls", "root", "band", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
+    ahead = Window.partitionBy("cls").orderBy("place", "token").rowsBetween(-EARLIER, -1)
+    own = tokens.withColumn("before", F.collect_list("token").over(ahead)).join(facts.select("cls", "root", "band"), "cls")
+    spread = own.select("token", "cls", "place", "before", "root", "band", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
     busy = spread.groupBy("token", "tile").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token", "tile")
     rows = spread.join(materialise(busy, "tiles"), ["token", "tile"])
     rows = materialise(rows.join(facts.select("cls", "n", "bits"), "cls"), "tile-rows")
     a, b = rows.alias("a"), rows.alias("b")
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     meets = ((F.col("a.token") == F.col("b.token")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
-             & (F.greatest("a.band", "b.band") == F.col("a.tile")) & may_link("a", "b", step, percent))
+             & (F.greatest("a.band", "b.band") == F.col("a.tile")) & (rest * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
+             & may_link("a", "b", step, percent) & ~F.arrays_overlap("a.before", "b.before"))
     return a.join(b, meets).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
@@ -384,7 +396,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     led = materialise(bounded(leaders(classes), classes, percent), "led-pairs")
     near, roots, _ = nearest(led, sets_of(docs, classes, led, width=width), None, percent)
     sent = spark.sparkContext.broadcast(order_levels(found))
-    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value, percent, width)(it), "token long, cls long").repartition("token")
+    tokens = docs.select("text").mapInArrow(lambda it: _prefixes(sent.value, percent, width)(it), "token long, cls long, place int").repartition("token")
     shared = tokens.groupBy("token").agg(F.min("cls").alias("r"), F.max("cls").alias("s")).where("r <> s").select("token")
     tokens = materialise(tokens.join(shared, "token").distinct(), "shared-prefixes")  # one exchange serves all of it
     pairs = materialise(bounded(tiles(tokens, classes, roots, percent), classes, percent), "tile-pairs")

@@ -38,3 +38,31 @@ def test_wide_bitmaps_admit_every_link():
             assert admits(a, b)
         rejected += not admits(a, b)
     assert rejected > 50
+
+
+def test_places_in_the_common_order_bound_the_overlap_at_the_first_shared_shingle():
+    r = np.random.default_rng(4)
+    levels = r.integers(0, 5, 1 << 10).astype(np.uint8)
+
+    def order(x):
+        return int(levels[x % len(levels)]) << 56 | x >> 8
+
+    linked = 0
+    for _ in range(300):
+        base = np.unique(r.integers(1, 1 << 63, r.integers(1, 300), dtype=np.uint64))
+        other = np.unique(np.append(base[r.random(len(base)) > 0.08], r.integers(1, 1 << 63, r.integers(0, 20), dtype=np.uint64)))
+        if not len(other):
+            continue
+        sets, first = (base, other), []
+        for s in sets:
+            tokens, places = J.prefix(s, levels)
+            ranks = sorted(order(x) for x in s.tolist())
+            assert [ranks.index(order(x)) for x in tokens.tolist()] == places.tolist()
+            first.append(dict(zip(tokens.tolist(), places.tolist(), strict=True)))
+        both = len(np.intersect1d(*sets))
+        if 100 * both >= 85 * (len(base) + len(other) - both):
+            linked += 1
+            t = min(first[0].keys() & first[1].keys(), key=order)
+            rest = min(len(s) - f[t] for s, f in zip(sets, first, strict=True))
+            assert rest >= both and rest * 185 >= 85 * (len(base) + len(other))
+    assert linked > 50
