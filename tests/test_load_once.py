@@ -5,6 +5,7 @@ import json
 from commitlens import schema as S
 from commitlens.functions import text
 from commitlens.plans import orchestration as O
+from commitlens.plans.snapshots import Snapshots
 from commitlens.sources import exports as X
 
 
@@ -63,6 +64,15 @@ def test_a_load_derives_its_rows_once(spark, tmp_path):
     assert seen.value == len(given)
 
 
+def test_a_refresh_looks_for_its_months_once(spark, tmp_path):
+    at = dt.datetime(2025, 3, 1)
+    commits, seen = counted(spark, [(n, 1, f"{n:040x}", at, "Ida", "ida@holm.example", "API | x", 1, 1, 1, at, "API", 100, None, None, None, None) for n in range(1, 5)], S.COMMITS_SCHEMA)
+    store = Snapshots(spark, str(tmp_path / "mv"))
+    names = store.refresh(commits, spark.createDataFrame([(1, "one", None, None, None, None, None)], S.REPOSITORIES_SCHEMA))
+    assert len(names) == 4 and seen.value == 4 * (len(names) + 1)  # each snapshot, and the months
+    assert [(str(r.month_start_date), r.total_commits) for r in store.read(names[0]).collect()] == [("2025-03-01", 4)]
+
+
 def test_dates_of_each_form(spark):
     given = ["2024-11-12 10:30:00 +0100", " 2024-11-12T10:30:00+01:00\n", "2024-11-12t10:30:00Z", "2024-11-12T10:30:00", "2024-11-12 10:30:00", "T", "", None]
     df = spark.createDataFrame(list(enumerate(given)), "n int, x string")
